@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import sharding, toxicity, warc_fixity
+from . import quality, sharding, simhash, toxicity, warc_fixity
 
-MODULES = (toxicity, warc_fixity, sharding)
+MODULES = (toxicity, warc_fixity, simhash, sharding, quality)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
