@@ -46,12 +46,12 @@ def rarity(docs: DataFrame) -> str:
 
 def lines(docs: DataFrame, counts: str) -> DataFrame:
     """A row for each line with words: doc_id, line_no, line, n, its class (h1, h2), parity, prefix."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
     # the folded literal is a constant of each task; a look-up is an array access
     ranks = F.split(F.lit(counts), ",").cast("array<int>")
     hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
     keys = F.transform(hashes, lambda h: F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    each = each.select("doc_id", "line_no", "line", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys")).where("n > 0")
+    each = each.select("doc_id", "line_no", "line", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     return each.select(
         "doc_id", "line_no", "line", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity.alias("parity"),
