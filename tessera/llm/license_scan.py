@@ -52,7 +52,7 @@ def _bigrams(words: Column) -> Column:
 
 
 def _sized(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Rows with their bigrams g. Callers explode with explode_outer: for explode the optimizer would put a filter on g below, which makes g twice."""
+    """Rows with their bigrams g. Callers use explode_outer and a size that is never null: else the optimizer puts filters on g below, which make g again."""
     return rows.withColumn("w", F.split(normalised(F.col(text)), " ")).select(*keep, _bigrams(F.col("w")).alias("g"))
 
 
@@ -64,10 +64,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | tuple = TEMPLATES,
     if not 0 < threshold <= 1 or not 0 < len(templates) <= MAX_TEMPLATES:
         raise ValueError("the threshold lies in (0, 1], and the templates are a list of a fixed size")
     listed = docs.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, notice string")
-    known = _sized(listed, "notice", "template", "license").select("template", "license", F.size("g").alias("m"), F.explode_outer("g").alias("gram"))
+    known = _sized(listed, "notice", "template", "license").select("template", "license", F.coalesce(F.size("g"), F.lit(0)).alias("m"), F.explode_outer("g").alias("gram"))
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     lines = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    grams = _sized(lines, "line", "doc_id", "line_no", "line").withColumn("n", F.size("g"))
+    grams = _sized(lines, "line", "doc_id", "line_no", "line").withColumn("n", F.coalesce(F.size("g"), F.lit(0)))
     shared = grams.select("doc_id", "line_no", "line", "n", F.explode_outer("g").alias("gram")).join(F.broadcast(known), "gram")
     bounded = shared.where((F.col("n") >= F.col("m") * least - 1e-9) & (F.col("n") <= F.col("m") * most + 1e-9))
     counted = bounded.groupBy("doc_id", "line_no", "line", "template", "license", "n", "m").agg(F.size(F.collect_set("gram")).alias("both"))
