@@ -23,6 +23,7 @@ recent words, up to a fixed number.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_PAIRS = 600_000
 BATCH_CHARS = 4_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -59,7 +60,7 @@ def read_model(path: str = MODEL) -> dict:
 
 
 class _Words(dict):
-    """Word -> its ids as little-endian int32 bytes; forgets all when full."""
+    """Word -> its ids as int32 bytes; forgets all when full."""
 
     def __init__(self, make):
         super().__init__()
@@ -68,7 +69,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        got = np.array(self.make(word), dtype="<i4").tobytes()
+        got = array("i", self.make(word)).tobytes()
         if len(word) <= 64:
             self[word] = got
         return got
@@ -127,33 +128,63 @@ class Transducer:
             got = self.pairs[key] = self.merged("".join(want)) == want
         return got
 
-    def _path(self, unit: str) -> list[int]:
-        """Least path over the composed machine: best[i] is (cost, start, token) of the path to position i. Tokens under -1 stand for unknown characters."""
+    def _arcs(self, unit: str, i: int) -> list[tuple[int, int, float]]:
+        """(end, token, weight) of the pieces that start at i, shorter first; a character that is no piece stands for itself, as a token under -1."""
+        node, out, n = self.trie, [], len(unit)
+        j = i
+        while j < n and (node := node.get(unit[j])) is not None:
+            j += 1
+            if "" in node:
+                out.append((j, *node[""]))
+        if not out or out[0][0] != i + 1:
+            out.insert(0, (i + 1, -ord(unit[i]) - 2, self.penalty))
+        return out
+
+    def _least(self, unit: str) -> list[int]:
+        """The least path: best[i] is (cost, start, token) of the one to position i."""
         n = len(unit)
-        best: list = [None] * (n + 1)
-        best[0] = (0.0, 0, -1)
+        best: list = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * n
         for i in range(n):
-            if best[i] is None:
-                continue
-            cost, _, last = best[i]
-            node, j = self.trie, i
-            arcs = []
-            while j < n and (node := node.get(unit[j])) is not None:
-                j += 1
-                if "" in node:
-                    arcs.append((j, *node[""]))
-            if not arcs or arcs[0][0] != i + 1:
-                arcs.append((i + 1, -ord(unit[i]) - 2, self.penalty))
-            for j, token, weight in arcs:
-                if (best[j] is None or cost + weight < best[j][0]) and (not self.bpe or self.follows(last, token)):
-                    best[j] = (cost + weight, i, token)
+            for j, token, weight in self._arcs(unit, i):
+                if best[i][0] + weight < best[j][0]:
+                    best[j] = (best[i][0] + weight, i, token)
         tokens, i = [], n
         while i:
-            _, start, token = best[i]
-            tokens.append(token)
-            i = start
+            tokens.append(best[i][2])
+            i = best[i][1]
+        return tokens[::-1]
+
+    def _only(self, unit: str) -> list[int]:
+        """The one path that the machine of the last piece admits, and so the least, found longest arcs first. A position has one admitted path to it: once left for good it is never entered again."""
+        n, pairs, seen = len(unit), self.pairs, set()
+        tokens: list[int] = []
+        stack, last, arcs = [], -1, self._arcs(unit, 0)
+        while True:
+            while arcs:
+                j, token, _ = arcs.pop()
+                if j in seen:
+                    continue
+                ok = pairs.get((last, token))
+                if ok is None:
+                    ok = self.follows(last, token)
+                if ok:
+                    tokens.append(token)
+                    if j == n:
+                        return tokens
+                    seen.add(j)
+                    stack.append((last, arcs))
+                    last, arcs = token, self._arcs(unit, j)
+                    break
+            else:
+                last, arcs = stack.pop()
+                tokens.pop()
+
+    def _path(self, unit: str) -> list[int]:
+        tokens = self._only(unit) if self.bpe else self._least(unit)
+        if min(tokens) >= 0:
+            return tokens
         out: list[int] = []
-        for token in reversed(tokens):
+        for token in tokens:
             if token >= 0:
                 out.append(token)
             elif self.bytes:
@@ -166,7 +197,7 @@ class Transducer:
         if not text:
             return np.zeros(0, dtype=np.int32)
         normal = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.units.findall(normal))), dtype="<i4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.units.findall(normal))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         out = self.out
