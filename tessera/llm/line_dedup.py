@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-case words. Lines whose word sets have a Jaccard
+A line is the set of its lower-case words (what spaces separate). Lines whose word sets have a Jaccard
 similarity of 4/5 or more match; a line goes if any earlier line (by document id,
 then line number) matches it, whether that one stays or not. Lines without words
 always stay.
@@ -26,97 +26,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import table, written
 
 BUCKETS = 1 << 16
 NUM, DEN = 4, 5  # the least similarity, as a fraction
+BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
+_HASH = (1 << 56) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), r"\s+")), "")
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
 
 
 def rarity(docs: DataFrame) -> str:
     """The logarithm of each hash bucket's word count over all documents, as a list of BUCKETS numbers."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("c"))
     found = {r.b: r.q for r in counts.select("b", F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).alias("q")).collect()}
     return ",".join(str(found.get(b, 0)) for b in range(BUCKETS))
 
 
+def _each(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
 def lines(docs: DataFrame, counts: str) -> DataFrame:
-    """A row for each line with words: doc_id, line_no, line, n, its class (h1, h2), parity, prefix."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
+    """A row for each line with words: doc_id, line_no, n, its class (h1, h2), parity, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
     # the folded literal is a constant of each task; a look-up is an array access
     ranks = F.split(F.lit(counts), ",").cast("array<int>")
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    keys = F.transform(hashes, lambda h: F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    each = each.select("doc_id", "line_no", "line", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    keys = F.transform(hashes, lambda h: F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
+    each = _each(docs).where(F.col("line").rlike("[^ ]")).select("doc_id", "line_no", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     return each.select(
-        "doc_id", "line_no", "line", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity.alias("parity"),
-        F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")).alias("prefix"),
+        "doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity.alias("parity"),
+        F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
 
 
 def _passes(a: str, b: str) -> str:
     """Length, positional and parity filter between the prefix entries a and b of one word. need is the least overlap of a match."""
-    need = f"(({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN})"
+    need = f"(({NUM} * ({a}n + {b}n) + {NUM + DEN - 1}) div {NUM + DEN})"
     return (
-        f"{a}.n * {DEN} >= {b}.n * {NUM} AND {b}.n * {DEN} >= {a}.n * {NUM} AND 1 + least({a}.n - {a}.i, {b}.n - {b}.i) >= {need} "
-        f"AND bit_count({a}.parity ^ {b}.parity) <= {a}.n + {b}.n - 2 * {need}"
+        f"{a}n * {DEN} >= {b}n * {NUM} AND {b}n * {DEN} >= {a}n * {NUM} AND 1 + least({a}n - {a}i, {b}n - {b}i) >= {need} "
+        f"AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need}"
     )
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """found with pos, a long that orders lines as (doc_id, line_no) do: both numbers in one where they fit, else their places in a global sort."""
+    top = found.agg(F.max("line_no"), F.max("doc_id"), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    bits = max(1, (top[0] or 0).bit_length())
+    if top[3] or max(abs(top[1] or 0), abs(top[2] or 0)).bit_length() + bits > 62:
+        return written(found.orderBy("doc_id", "line_no").withColumn("pos", F.monotonically_increasing_id()), "line-dedup-numbered")
+    return found.withColumn("pos", F.shiftleft("doc_id", bits).bitwiseOR(F.col("line_no").cast("long")))
+
+
 def classes(found: DataFrame) -> DataFrame:
-    return found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    """A row for each word set: its hashes and its first line's pos."""
+    return found.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
 
 
 def _entries(kinds: DataFrame) -> DataFrame:
-    at = F.posexplode("prefix").alias("at", "key")
-    return kinds.select("h1", "h2", "first", "n", "parity", at).select("key", F.struct("first", "n", (F.col("at") + 1).alias("i"), "parity", "h1", "h2").alias("e"))
+    each = kinds.select("pos", "n", "parity", F.posexplode("prefix").alias("i", "key"))
+    return each.where("key IS NOT NULL").select("key", "pos", "n", (F.col("i") + 1).alias("i"), "parity")
 
 
-_KEYS = ["b.h1 AS h1", "b.h2 AS h2", "b.first AS first", "a.first AS other"]
+def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
+    """pos, other: later's entries with all earlier ones of their word that pass."""
+    a = entries.toDF("key", *(f"a_{c}" for c in entries.columns[1:]))
+    return later.join(a, "key").where(f"a_pos < pos AND {_passes('a_', '')}").select("pos", F.col("a_pos").alias("other"))
 
 
-def _candidates(kinds: DataFrame) -> DataFrame:
-    """(class, an earlier class's first line), through each word's first class where the filters let it pass."""
+def candidates(kinds: DataFrame) -> DataFrame:
+    """pos, other: each class with each word's first class if that passes, else with all that pass."""
     entries = _entries(kinds)
-    by_word = Window.partitionBy("key").orderBy("e.first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = entries.select("key", F.col("e").alias("b"), F.first("e").over(by_word).alias("l"))
-    led = led.select("key", "b", F.expr(f"CASE WHEN b.first > l.first AND {_passes('l', 'b')} THEN l.first END").alias("leader"))
-    pairs = led.where("leader IS NULL").join(entries.select("key", F.col("e").alias("a")), "key").where(F.expr(f"a.first < b.first AND {_passes('a', 'b')}")).selectExpr(*_KEYS)
-    return pairs.unionByName(led.where("leader IS NOT NULL").selectExpr("b.h1 AS h1", "b.h2 AS h2", "b.first AS first", "leader AS other")).distinct()
+    by_word = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = entries.select("*", *(F.first(c).over(by_word).alias(f"l_{c}") for c in ("pos", "n", "i", "parity")))
+    led = led.withColumn("leader", F.expr(f"CASE WHEN l_pos < pos AND {_passes('l_', '')} THEN l_pos END"))
+    pairs = _paired(led.where("leader IS NULL").select(*entries.columns), entries)
+    return pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"))).distinct()
 
 
-def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """pairs with same: whether the two lines' words match."""
-    text = found.select("doc_id", "line_no", "line")
-    one = pairs.join(text.toDF("d1", "n1", "line"), (F.col("first.doc_id").eqNullSafe(F.col("d1"))) & (F.col("first.line_no") == F.col("n1")))
-    two = one.join(text.toDF("d2", "n2", "line2"), (F.col("other.doc_id").eqNullSafe(F.col("d2"))) & (F.col("other.line_no") == F.col("n2")))
-    words = two.select("h1", "h2", "first", "other", _words(F.col("line")).alias("x"), _words(F.col("line2")).alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return words.select("h1", "h2", "first", "other", (both * (NUM + DEN) >= NUM * (F.size("x") + F.size("y"))).alias("same"))
+def _few(rows: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(rows) if count <= BROADCAST_PAIRS else rows
+
+
+def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """pos, other, same: whether the words of the two lines match. Only the lines named are split into words again."""
+    pairs = written(pairs, "line-dedup-pairs")
+    count = 2 * pairs.count()
+    named = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
+    wanted = found.select("pos", "doc_id", "line_no").join(_few(named, count), "pos").withColumnRenamed("doc_id", "d").withColumnRenamed("line_no", "l")
+    text = _each(docs).join(_few(wanted, count), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).select("pos", "line")
+    text = written(text, "line-dedup-text")
+    both = pairs.join(text, "pos").join(text.toDF("other", "line2"), "other")
+    words = both.select("pos", "other", _words(F.col("line")).alias("x"), _words(F.col("line2")).alias("y"))
+    return words.select("pos", "other", (F.size(F.array_intersect("x", "y")) * (NUM + DEN) >= NUM * (F.size("x") + F.size("y"))).alias("same"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, kept_doc_id, kept_line_no of every line that goes, with an earlier line that matches it (the first of its class, or for that one the earliest match found)."""
+    """doc_id, line_no of every line that goes.
+
+    Null and empty texts have no lines. Lines of rows without doc_id come first. Rows that share a doc_id share their lines' places:
+    equal lines at one place all stay, and of different ones all go if one does.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    found = written(lines(docs, rarity(docs)), "line-dedup-lines")
+    found = numbered(written(lines(docs, rarity(docs)), "line-dedup-lines"))
     kinds = written(classes(found), "line-dedup-classes")
-    checked = written(_verified(_candidates(kinds), found), "line-dedup-pairs")
-    matched = checked.where("same").groupBy("h1", "h2").agg(F.min("other").alias("other"))
-    failed = written(checked.select("h1", "h2").distinct().join(matched, ["h1", "h2"], "left_anti"), "line-dedup-failed")
-    if not failed.isEmpty():
-        again = _entries(kinds.join(failed, ["h1", "h2"])).select("key", F.col("e").alias("b"))
-        pairs = again.join(_entries(kinds).select("key", F.col("e").alias("a")), "key").where(F.expr(f"a.first < b.first AND {_passes('a', 'b')}")).selectExpr(*_KEYS).distinct()
-        matched = matched.unionByName(_verified(pairs, found).where("same").groupBy("h1", "h2").agg(F.min("other").alias("other")))
-    firsts = kinds.select("h1", "h2", "first").join(matched, ["h1", "h2"], "left")
-    members = found.select("h1", "h2", "doc_id", "line_no").join(firsts, ["h1", "h2"])
-    own = F.struct("doc_id", "line_no") == F.col("first")
-    gone = members.where(~own | F.col("other").isNotNull()).withColumn("kept", F.when(own, F.col("other")).otherwise(F.col("first")))
-    return gone.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+    checked = written(_verified(candidates(kinds), found, docs), "line-dedup-checked")
+    matched = checked.where("same").select("pos").distinct()
+    failed = written(checked.select("pos").distinct().join(matched, "pos", "left_anti"), "line-dedup-failed")
+    count = failed.count()
+    if count:
+        again = _entries(kinds.join(_few(failed, count), "pos"))
+        again = _paired(_few(again, 64 * count), _entries(kinds)).distinct().join(checked.select("pos", "other"), ["pos", "other"], "left_anti")
+        matched = matched.unionByName(_verified(again, found, docs).where("same").select("pos").distinct())
+    firsts = kinds.select("h1", "h2", F.col("pos").alias("first")).join(matched.withColumn("gone", F.lit(True)), F.col("first") == F.col("pos"), "left").drop("pos")
+    members = found.select("h1", "h2", "doc_id", "line_no", "pos").join(firsts, ["h1", "h2"])
+    return members.where("gone OR pos > first").select("doc_id", "line_no")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -132,12 +160,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
+    return duplicates(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""
 WITH each AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-sets AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> ''))) AS s FROM each),
+sets AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> ''))) AS s FROM each),
 ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM sets WHERE len(s) > 0),
 classes AS (SELECT s, min(pos) AS pos, len(s) AS n FROM ranked GROUP BY s),
 near AS (SELECT DISTINCT b.pos FROM classes b JOIN classes a ON a.pos < b.pos AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n

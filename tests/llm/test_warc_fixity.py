@@ -1,0 +1,40 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from tessera.llm import warc_fixity as w
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_only_damaged_paths_are_reported(spark):
+    base = [(i, f"u{i}", f"<p>{i}</p>") for i in range(0, 20_000, 7)]
+    changed = {7 * 13: "<p>!</p>", 7 * 2500: "x"}
+    other = [(i, u, changed.get(i, h)) for i, u, h in base if i != 7 * 100] + [(5, "new", "page")]
+    got = w.audit(pages(spark, base), pages(spark, other), "page_id", ["url", "html"]).collect()
+    leaves = {r.node: r.status for r in got if r.level == 0}
+    assert leaves == {91: "corrupt", 17_500: "corrupt", 700: "missing", 5: "extra"}
+    for level in range(1, w.LEVELS + 1):
+        assert {r.node for r in got if r.level == level} == {n >> 6 * level for n in leaves}
+    start = sum(len(f"+u{i}\n+<p>{i}</p>") for i in range(0, 700, 7))
+    assert next(r.start for r in got if r.level == 0 and r.node == 700) == start
+
+
+def test_hashes_by_definition(spark):
+    rows = [(0, "u", "a"), (1, "u", "b")]
+    tree = w.build(pages(spark, rows), pages(spark, rows), "page_id", ["url", "html"], 1)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = [sha(f"1:{int(d[:15], 16)}:{d}:{d}") for d in (sha("+u\n+a"), sha("+u\n+b"))]
+    assert [r.h_a for r in tree[0].orderBy("node").collect()] == leaf
+    assert tree[1].first().h_b == sha("".join(leaf))
+
+
+def test_edges(spark):
+    rows = [(None, "u", "h"), (1, None, ""), (1, None, ""), (1, "", None), (-9, "u", "y" * 300_000), (4, None, None)]
+    a = pages(spark, rows).withColumn("node", F.lit(1)).withColumn("h_a", F.lit("z"))
+    assert w.audit(a, a, "page_id", ["url", "html"]).count() == 0
+    assert w.audit(a.limit(0), a.limit(0), "page_id", ["url", "html"]).count() == 0
+    got = w.audit(a, pages(spark, rows[1:2] + rows[3:]), "page_id", ["url", "html"]).where("level = 0").collect()
+    assert {(r.node, r.status) for r in got} == {(-1, "missing"), (1, "corrupt")}
