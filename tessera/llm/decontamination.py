@@ -14,8 +14,9 @@ word, those are opened whose block maxima add up to the threshold. A run of wind
 searched as one larger query first: its words hold those of every window in it,
 so if no item reaches the threshold none of its windows can.
 
-A hit counts if both the item's question (all but its last sentence) and its answer
-(the last one) have OVERLAP or more of their five-word shingles in the passage.
+A hit counts if the passage has OVERLAP or more of the five-word shingles of the item's
+question (all but its last sentence) and answer (the last one) together, and OVERLAP
+or more of the words of each. A part of fewer than five words is one shorter shingle.
 
 The index holds at most INDEX_ITEMS items and is broadcast; more items make more
 indexes, each with its own pass.
@@ -44,7 +45,7 @@ INDEX_ITEMS = 20_000
 LEAST_WINDOW = 64
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-SCHEMA = "doc_id long, item_id long, passages int, first_word int, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, item_id long, passages int, first_word int, score double, overlap double, question_overlap double, answer_overlap double"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -56,6 +57,19 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def runs(words: list[str], n: int) -> set[tuple[str, ...]]:
+    """All runs of n neighbouring words."""
+    return set(zip(*(words[i:] for i in range(n))))
+
+
+class Part:
+    """An item's question or answer: its words and its shingles, all of one length."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.shingles = set(words), shingles(words)
+        self.length = min(SHINGLE, len(words))
+
+
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The words of all sentences but the last, and of the last; one sentence is both."""
     parts = [w for w in map(words_of, _SENTENCE.split(text.strip())) if w]
@@ -71,7 +85,7 @@ class Index:
         items = [(i, t) for i, t in items if words_of(t)]
         self.ids = [i for i, _ in items]
         counts = [Counter(words_of(t)) for _, t in items]
-        self.parts = [tuple(map(shingles, question_and_answer(t))) for _, t in items]
+        self.parts = [tuple(map(Part, question_and_answer(t))) for _, t in items]
         sizes = np.array([sum(c.values()) for c in counts], dtype=float)
         df = Counter(w for c in counts for w in c)
         self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
@@ -133,20 +147,21 @@ class Index:
             else:
                 work += [(a, (a + b) // 2), ((a + b) // 2, b)]
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, int, float, float, float]]:
-        """(item id, passages, first word of the first one, best score, question overlap, answer overlap) of each item found in a text."""
+    def leaks(self, text: str | None) -> list[tuple[int, int, int, float, float, float, float]]:
+        """(item id, passages, first word of the first one, best score, best overlaps: of shingles, of question and of answer words) of each item found in a text."""
         words = words_of(text)
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         found: dict[int, list] = {}
         for s, e, hits, share in self.passages(ids):
-            have = shingles(words[s:e])
+            have = {n: runs(words[s:e], n) for n in {p.length for i in hits.tolist() for p in self.parts[i]} | {1}}
             for item, score in zip(hits.tolist(), share.tolist()):
-                question, answer = self.parts[item]
-                q, a = len(question & have) / len(question), len(answer & have) / len(answer)
-                if q >= OVERLAP and a >= OVERLAP:
-                    x = found.setdefault(item, [0, s, 0.0, 0.0, 0.0])
-                    x[:] = [x[0] + 1, min(x[1], s), max(x[2], score), max(x[3], q), max(x[4], a)]
+                parts = self.parts[item]
+                both = sum(len(p.shingles & have[p.length]) for p in parts) / sum(len(p.shingles) for p in parts)
+                q, a = (sum((w,) in have[1] for w in p.words) / len(p.words) for p in parts)
+                if min(both, q, a) >= OVERLAP:
+                    x = found.setdefault(item, [0, s, 0.0, 0.0, 0.0, 0.0])
+                    x[:] = [x[0] + 1, min(x[1], s), *map(max, x[2:], (score, both, q, a))]
         return [(self.ids[i], *x) for i, x in sorted(found.items())]
 
 
@@ -176,7 +191,7 @@ def leaks(docs: DataFrame, items: DataFrame, limit: int = INDEX_ITEMS) -> DataFr
             for b in batches:
                 rows = [(d.as_py(), *x) for d, t in zip(b.column("doc_id"), b.column("text")) for x in shared.value.leaks(t.as_py())]
                 if rows:
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

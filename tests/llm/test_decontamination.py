@@ -13,6 +13,21 @@ def text(n):
     return " ".join(RNG.choice(VOCABULARY) for _ in range(n))
 
 
+
+
+def holds(body, item):
+    """The plain definition: 0.8 of both parts' runs of five words (or of the whole part, if shorter) and of each part's words stand in the text."""
+    words = d.words_of(body)
+    here, whole, shares = 0, 0, []
+    for part in d.question_and_answer(item):
+        n = min(5, len(part))
+        mine = {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}
+        have = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+        here, whole = here + len(mine & have), whole + len(mine)
+        shares.append(len(set(part) & set(words)) / len(set(part)))
+    return here >= 0.8 * whole and min(shares) >= 0.8
+
+
 ITEMS = [(i, f"{text(RNG.randint(8, 30))}? {text(RNG.randint(6, 20))}.") for i in range(60)]
 
 
@@ -46,11 +61,7 @@ def test_leaks_match_brute_force(spark, make_docs):
     rows = [(i, text(RNG.randint(1, 300))) for i in range(80)]
     rows += [(100 + i, f"{text(RNG.randint(0, 200))} {t.upper()} {text(RNG.randint(0, 200))}") for i, t in ITEMS[:30]]
     rows += [(200 + i, f"{text(50)} {t.split('?')[0]} {text(50)}") for i, t in ITEMS[:20]]  # the question alone is no leak
-    index = d.Index(ITEMS)
-    want = set()
-    for doc, body in rows:
-        have = d.shingles(d.words_of(body))
-        want |= {(doc, index.ids[k]) for k, (q, a) in enumerate(index.parts) if len(q & have) >= 0.8 * len(q) and len(a & have) >= 0.8 * len(a)}
+    want = {(doc, i) for doc, body in rows for i, t in ITEMS if holds(body, t)}
     docs, items = make_docs(rows), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert {(100 + i, i) for i in range(30)} <= want
     assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == want
@@ -65,3 +76,14 @@ def test_edges(spark, edge_docs):
     assert d.decontaminated(edge_docs, items).columns == edge_docs.columns
     assert d.leaks(edge_docs, items.limit(0)).count() == 0 and d.leaks(edge_docs.limit(0), items).count() == 0
     assert d.decontaminated(edge_docs, items.limit(0)).count() == edge_docs.count()
+
+
+def test_short_answers_and_single_edits_are_found():
+    items = [(0, f"{text(20)}? {text(1)}."), (1, f"{text(25)}. {text(8)}."), (2, f"{text(12)}? {text(3)}!"), (3, text(2))]
+    index = d.Index(items)
+    for i, t in items:
+        assert i in {x[0] for x in index.leaks(f"{text(70)} {t} {text(30)}")}
+    words = items[1][1].split(" ")
+    words[-3] = "zzz"  # one changed word within the answer
+    assert [x[0] for x in index.leaks(" ".join(words))] == [1]
+    assert holds(" ".join(words), items[1][1]) and not index.leaks(text(40))
