@@ -13,7 +13,8 @@ always stay.
 * Two matching classes share a word in their prefixes (the n - ceil(4n/5) + 1
   rarest of n words). The join on those words keeps pairs that pass the length and
   positional filters and the parity filter: each word flips one of 64 bits, so
-  two sets' parities differ in no more bits than the sets in words.
+  two sets' parities differ in no more bits than the sets in words. Lines of WIDE
+  words or more carry 256 such bits, as 64 are soon even between long lines.
 * In a word's group, a class that passes these filters against the group's first
   class is paired with that one only. Of a thousand variants of a line, each is
   thus paired with the first, not with a thousand others. A class whose pairs all
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 NUM, DEN = 4, 5  # the least similarity, as a fraction
 BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
+WIDE = 64
 _HASH = (1 << 56) - 1
+_PARITIES = ("parity", "p1", "p2", "p3")  # the first is all four quarters in one; the others are null for short lines
 
 
 def _words(line: Column) -> Column:
@@ -57,9 +60,15 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     keys = F.transform(hashes, lambda h: F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
     each = _each(docs).where(F.col("line").rlike("[^ ]")).select("doc_id", "line_no", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def parity(keys: Column) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def quarter(q: int) -> Column:
+        return F.when(F.col("n") >= WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(192)) == 64 * q))).alias(f"p{q}")
+
     return each.select(
-        "doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity.alias("parity"),
+        "doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(F.col("keys")).alias("parity"), *map(quarter, (1, 2, 3)),
         F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
 
@@ -67,9 +76,12 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
 def _passes(a: str, b: str) -> str:
     """Length, positional and parity filter between the prefix entries a and b of one word. need is the least overlap of a match."""
     need = f"(({NUM} * ({a}n + {b}n) + {NUM + DEN - 1}) div {NUM + DEN})"
+    rest = [f"({a}{p} ^ {b}{p})" for p in _PARITIES[1:]]
+    wide = " + ".join(f"bit_count({x})" for x in ["({} ^ {} ^ {} ^ {})".format(f"({a}parity ^ {b}parity)", *rest), *rest])
     return (
         f"{a}n * {DEN} >= {b}n * {NUM} AND {b}n * {DEN} >= {a}n * {NUM} AND 1 + least({a}n - {a}i, {b}n - {b}i) >= {need} "
-        f"AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need}"
+        f"AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need} "
+        f"AND ({a}n < {WIDE} OR {b}n < {WIDE} OR {wide} <= {a}n + {b}n - 2 * {need})"
     )
 
 
@@ -78,18 +90,20 @@ def numbered(found: DataFrame) -> DataFrame:
     top = found.agg(F.max("line_no"), F.max("doc_id"), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     bits = max(1, (top[0] or 0).bit_length())
     if top[3] or max(abs(top[1] or 0), abs(top[2] or 0)).bit_length() + bits > 62:
-        return written(found.orderBy("doc_id", "line_no").withColumn("pos", F.monotonically_increasing_id()), "line-dedup-numbered")
+        places = found.select("doc_id", "line_no").distinct().orderBy("doc_id", "line_no").withColumn("pos", F.monotonically_increasing_id())
+        places = written(places, "line-dedup-places").toDF("d", "l", "pos")
+        return written(found.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).drop("d", "l"), "line-dedup-numbered")
     return found.withColumn("pos", F.shiftleft("doc_id", bits).bitwiseOR(F.col("line_no").cast("long")))
 
 
 def classes(found: DataFrame) -> DataFrame:
     """A row for each word set: its hashes and its first line's pos."""
-    return found.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    return found.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("n", *_PARITIES, "prefix")))
 
 
 def _entries(kinds: DataFrame) -> DataFrame:
-    each = kinds.select("pos", "n", "parity", F.posexplode("prefix").alias("i", "key"))
-    return each.where("key IS NOT NULL").select("key", "pos", "n", (F.col("i") + 1).alias("i"), "parity")
+    each = kinds.select("pos", "n", *_PARITIES, F.posexplode("prefix").alias("i", "key"))
+    return each.where("key IS NOT NULL").select("key", "pos", "n", (F.col("i") + 1).alias("i"), *_PARITIES)
 
 
 def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
@@ -102,7 +116,7 @@ def candidates(kinds: DataFrame) -> DataFrame:
     """pos, other: each class with each word's first class if that passes, else with all that pass."""
     entries = _entries(kinds)
     by_word = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = entries.select("*", *(F.first(c).over(by_word).alias(f"l_{c}") for c in ("pos", "n", "i", "parity")))
+    led = entries.select("*", *(F.first(c).over(by_word).alias(f"l_{c}") for c in ("pos", "n", "i", *_PARITIES)))
     led = led.withColumn("leader", F.expr(f"CASE WHEN l_pos < pos AND {_passes('l_', '')} THEN l_pos END"))
     pairs = _paired(led.where("leader IS NULL").select(*entries.columns), entries)
     return pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"))).distinct()
