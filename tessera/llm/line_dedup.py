@@ -14,7 +14,7 @@ always stay.
   rarest of n words). The join on those words keeps pairs that pass the length and
   positional filters and the parity filter: each word flips one of 64 bits, so
   two sets' parities differ in no more bits than the sets in words. Lines of WIDE
-  words or more carry 256 such bits, as 64 are soon even between long lines.
+  words or more carry 128 such bits, as 64 are soon even between long lines.
 * In a word's group, a class that passes these filters against the group's first
   class is paired with that one only. Of a thousand variants of a line, each is
   thus paired with the first, not with a thousand others. A class whose pairs all
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 NUM, DEN = 4, 5  # the least similarity, as a fraction
 BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
 WIDE = 64
 _HASH = (1 << 56) - 1
-_PARITIES = ("parity", "p1", "p2", "p3")  # the first is all four quarters in one; the others are null for short lines
+_PARITIES = ("parity", "half")  # the first is both halves in one; the second is null for short lines
 
 
 def _words(line: Column) -> Column:
@@ -57,18 +57,20 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
     """A row for each line with words: doc_id, line_no, n, its class (h1, h2), parity, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
     # the folded literal is a constant of each task; a look-up is an array access
     ranks = F.split(F.lit(counts), ",").cast("array<int>")
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    keys = F.transform(hashes, lambda h: F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
+
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
+
+    keys = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), key)), key(F.lit("")))
     each = _each(docs).where(F.col("line").rlike("[^ ]")).select("doc_id", "line_no", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
 
     def parity(keys: Column) -> Column:
         return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    def quarter(q: int) -> Column:
-        return F.when(F.col("n") >= WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(192)) == 64 * q))).alias(f"p{q}")
-
+    half = F.when(F.col("n") >= WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64)))
     return each.select(
-        "doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(F.col("keys")).alias("parity"), *map(quarter, (1, 2, 3)),
+        "doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(F.col("keys")).alias("parity"), half.alias("half"),
         F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
 
@@ -76,8 +78,7 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
 def _passes(a: str, b: str) -> str:
     """Length, positional and parity filter between the prefix entries a and b of one word. need is the least overlap of a match."""
     need = f"(({NUM} * ({a}n + {b}n) + {NUM + DEN - 1}) div {NUM + DEN})"
-    rest = [f"({a}{p} ^ {b}{p})" for p in _PARITIES[1:]]
-    wide = " + ".join(f"bit_count({x})" for x in ["({} ^ {} ^ {} ^ {})".format(f"({a}parity ^ {b}parity)", *rest), *rest])
+    wide = f"bit_count({a}half ^ {b}half) + bit_count({a}parity ^ {b}parity ^ {a}half ^ {b}half)"
     return (
         f"{a}n * {DEN} >= {b}n * {NUM} AND {b}n * {DEN} >= {a}n * {NUM} AND 1 + least({a}n - {a}i, {b}n - {b}i) >= {need} "
         f"AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need} "
@@ -103,7 +104,9 @@ def classes(found: DataFrame) -> DataFrame:
 
 def _entries(kinds: DataFrame) -> DataFrame:
     each = kinds.select("pos", "n", *_PARITIES, F.posexplode("prefix").alias("i", "key"))
-    return each.where("key IS NOT NULL").select("key", "pos", "n", (F.col("i") + 1).alias("i"), *_PARITIES)
+    # with these conditions on both sides of the join no more are inferred for one of them, and both read one exchange
+    each = each.where(" AND ".join(f"{c} IS NOT NULL" for c in ("key", "pos", "n", "i", "parity")))
+    return each.select("key", "pos", "n", (F.col("i") + 1).alias("i"), *_PARITIES)
 
 
 def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
