@@ -111,8 +111,9 @@ def _entries(kinds: DataFrame) -> DataFrame:
 
 def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
     """pos, other: later's entries with all earlier ones of their word that pass."""
-    a = entries.toDF("key", *(f"a_{c}" for c in entries.columns[1:]))
-    return later.join(a, "key").where(f"a_pos < pos AND {_passes('a_', '')}").select("pos", F.col("a_pos").alias("other"))
+    # qualified names, not renamed columns: so the exchange is the one that later was made from
+    both = later.alias("b").join(entries.alias("a"), F.col("a.key") == F.col("b.key"))
+    return both.where(f"a.pos < b.pos AND {_passes('a.', 'b.')}").select(F.col("b.pos").alias("pos"), F.col("a.pos").alias("other"))
 
 
 def candidates(kinds: DataFrame) -> DataFrame:
