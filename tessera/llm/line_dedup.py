@@ -76,13 +76,13 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
 
 
 def _passes(a: str, b: str) -> str:
-    """Length, positional and parity filter between the prefix entries a and b of one word. need is the least overlap of a match."""
-    need = f"(({NUM} * ({a}n + {b}n) + {NUM + DEN - 1}) div {NUM + DEN})"
+    """Parity, length and positional filter between the prefix entries a and b of one word, the one that excludes most first."""
+    most = f"({a}n + {b}n) * {DEN - NUM}"  # over NUM + DEN: the words in which two matching sets differ at most
     wide = f"bit_count({a}half ^ {b}half) + bit_count({a}parity ^ {b}parity ^ {a}half ^ {b}half)"
     return (
-        f"{a}n * {DEN} >= {b}n * {NUM} AND {b}n * {DEN} >= {a}n * {NUM} AND 1 + least({a}n - {a}i, {b}n - {b}i) >= {need} "
-        f"AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need} "
-        f"AND ({a}n < {WIDE} OR {b}n < {WIDE} OR {wide} <= {a}n + {b}n - 2 * {need})"
+        f"bit_count({a}parity ^ {b}parity) * {NUM + DEN} <= {most} AND {a}n * {DEN} >= {b}n * {NUM} AND {b}n * {DEN} >= {a}n * {NUM} "
+        f"AND (1 + least({a}n - {a}i, {b}n - {b}i)) * {NUM + DEN} >= {NUM} * ({a}n + {b}n) "
+        f"AND ({a}n < {WIDE} OR {b}n < {WIDE} OR ({wide}) * {NUM + DEN} <= {most})"
     )
 
 
@@ -120,8 +120,8 @@ def candidates(kinds: DataFrame) -> DataFrame:
     """pos, other: each class with each word's first class if that passes, else with all that pass."""
     entries = _entries(kinds)
     by_word = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = entries.select("*", *(F.first(c).over(by_word).alias(f"l_{c}") for c in ("pos", "n", "i", *_PARITIES)))
-    led = led.withColumn("leader", F.expr(f"CASE WHEN l_pos < pos AND {_passes('l_', '')} THEN l_pos END"))
+    led = entries.withColumn("l", F.first(F.struct("pos", "n", "i", *_PARITIES)).over(by_word))
+    led = led.withColumn("leader", F.expr(f"CASE WHEN l.pos < pos AND {_passes('l.', '')} THEN l.pos END"))
     pairs = _paired(led.where("leader IS NULL").select(*entries.columns), entries)
     return pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"))).distinct()
 
