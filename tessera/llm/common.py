@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with _row, a long that no two rows share and that orders them as doc_id does, nulls first; and whether it is doc_id itself.
+
+    That is so where every row has a doc_id of its own. Else rows are numbered once, in a written table; those of one doc_id by a hash of
+    their texts, so what comes first does not depend on the input's files.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    rows, ids = docs.select(doc_id.alias("i")).agg(F.count("*"), F.count_distinct("i")).first()
+    if rows == ids:
+        return docs.withColumn("_row", doc_id), True
+    # the last key only spreads copies that share an id over tasks
+    placed = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(doc_id, F.xxhash64("text"), "_at").drop("_at")
+    return written(placed.withColumn("_row", F.monotonically_increasing_id()), "keyed"), False
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     spark = df.sparkSession

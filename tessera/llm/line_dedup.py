@@ -2,7 +2,7 @@
 
 A line is the set of its lower-case words (what spaces separate). Lines whose word sets have a Jaccard
 similarity of 4/5 or more match; a line goes if any earlier line (by document id,
-then line number) matches it, whether that one stays or not. Lines without words
+then line number; rows that share an id or have none by their keys, see common.keyed) matches it, whether that one stays or not. Lines without words
 always stay.
 
 * Words are ordered by rarity: by their count over all documents, taken in a fixed
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import keyed, table, written
 
 BUCKETS = 1 << 17
 NUM, DEN = 4, 5  # the least similarity, as a fraction
@@ -50,11 +50,11 @@ def rarity(docs: DataFrame) -> str:
 
 
 def _each(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("_row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def lines(docs: DataFrame, counts: str) -> DataFrame:
-    """A row for each line with words: doc_id, line_no, n, its class (h1, h2), parity, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
+    """A row for each line with words: _row, line_no, n, its class (h1, h2), parity, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
     # the folded literal is a constant of each task; a look-up is an array access
     ranks = F.split(F.lit(counts), ",").cast("array<int>")
 
@@ -63,14 +63,14 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
         return F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
 
     keys = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), key)), key(F.lit("")))
-    each = _each(docs).where(F.col("line").rlike("[^ ]")).select("doc_id", "line_no", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
+    each = _each(docs).where(F.col("line").rlike("[^ ]")).select("_row", "line_no", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
 
     def parity(keys: Column) -> Column:
         return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
     half = F.when(F.col("n") >= WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64)))
     return each.select(
-        "doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(F.col("keys")).alias("parity"), half.alias("half"),
+        "_row", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(F.col("keys")).alias("parity"), half.alias("half"),
         F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
 
@@ -87,14 +87,14 @@ def _passes(a: str, b: str) -> str:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """found with pos, a long that orders lines as (doc_id, line_no) do: both numbers in one where they fit, else their places in a global sort."""
-    top = found.agg(F.max("line_no"), F.max("doc_id"), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    """found with pos, a long that orders lines as (_row, line_no) do: both numbers in one where they fit, else their places in a global sort."""
+    top = found.agg(F.max("line_no"), F.max("_row"), F.min("_row")).first()
     bits = max(1, (top[0] or 0).bit_length())
-    if top[3] or max(abs(top[1] or 0), abs(top[2] or 0)).bit_length() + bits > 62:
-        places = found.select("doc_id", "line_no").distinct().orderBy("doc_id", "line_no").withColumn("pos", F.monotonically_increasing_id())
+    if max(abs(top[1] or 0), abs(top[2] or 0)).bit_length() + bits > 62:
+        places = found.select("_row", "line_no").orderBy("_row", "line_no").withColumn("pos", F.monotonically_increasing_id())
         places = written(places, "line-dedup-places").toDF("d", "l", "pos")
-        return written(found.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).drop("d", "l"), "line-dedup-numbered")
-    return found.withColumn("pos", F.shiftleft("doc_id", bits).bitwiseOR(F.col("line_no").cast("long")))
+        return written(found.join(places, (F.col("_row") == F.col("d")) & (F.col("line_no") == F.col("l"))).drop("d", "l"), "line-dedup-numbered")
+    return found.withColumn("pos", F.shiftleft("_row", bits).bitwiseOR(F.col("line_no").cast("long")))
 
 
 def classes(found: DataFrame) -> DataFrame:
@@ -135,21 +135,17 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = written(pairs, "line-dedup-pairs")
     count = 2 * pairs.count()
     named = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
-    wanted = found.select("pos", "doc_id", "line_no").join(_few(named, count), "pos").withColumnRenamed("doc_id", "d").withColumnRenamed("line_no", "l")
-    text = _each(docs).join(_few(wanted, count), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).select("pos", "line")
+    wanted = found.select("pos", "_row", "line_no").join(_few(named, count), "pos").withColumnRenamed("_row", "d").withColumnRenamed("line_no", "l")
+    text = _each(docs).join(_few(wanted, count), (F.col("_row") == F.col("d")) & (F.col("line_no") == F.col("l"))).select("pos", "line")
     text = written(text, "line-dedup-text")
     both = pairs.join(text, "pos").join(text.toDF("other", "line2"), "other")
     words = both.select("pos", "other", _words(F.col("line")).alias("x"), _words(F.col("line2")).alias("y"))
     return words.select("pos", "other", (F.size(F.array_intersect("x", "y")) * (NUM + DEN) >= NUM * (F.size("x") + F.size("y"))).alias("same"))
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of every line that goes.
-
-    Null and empty texts have no lines. Lines of rows without doc_id come first. Rows that share a doc_id share their lines' places:
-    equal lines at one place all stay, and of different ones all go if one does.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+def _gone(rows: DataFrame) -> DataFrame:
+    """_row, line_no of every line that goes, from rows with _row (see common.keyed) and text."""
+    docs = rows.select("_row", "text").where("text is not null")
     found = numbered(written(lines(docs, rarity(docs)), "line-dedup-lines"))
     kinds = written(classes(found), "line-dedup-classes")
     checked = written(_verified(candidates(kinds), found, docs), "line-dedup-checked")
@@ -161,20 +157,36 @@ def duplicates(docs: DataFrame) -> DataFrame:
         again = _paired(_few(again, 64 * count), _entries(kinds)).distinct().join(checked.select("pos", "other"), ["pos", "other"], "left_anti")
         matched = matched.unionByName(_verified(again, found, docs).where("same").select("pos").distinct())
     firsts = kinds.select("h1", "h2", F.col("pos").alias("first")).join(matched.withColumn("gone", F.lit(True)), F.col("first") == F.col("pos"), "left").drop("pos")
-    members = found.select("h1", "h2", "doc_id", "line_no", "pos").join(firsts, ["h1", "h2"])
-    return members.where("gone OR pos > first").select("doc_id", "line_no")
+    members = found.select("h1", "h2", "_row", "line_no", "pos").join(firsts, ["h1", "h2"])
+    return members.where("gone OR pos > first").select("_row", "line_no")
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no of every line that goes.
+
+    Null and empty texts have no lines. Lines of rows without doc_id come first. Rows that share a doc_id (or have none) are rows of their
+    own all the same: each one's lines are compared with the others', and named under that doc_id.
+    """
+    rows, by_id = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    gone = _gone(rows)
+    if by_id:
+        return gone.withColumnRenamed("_row", "doc_id")
+    return gone.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "line_no")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the lines that go taken out of text; all rows and columns stay. A text with no lines left is empty, a null one null.
+def deduplicated(docs: DataFrame, emptied: bool = True) -> DataFrame:
+    """docs with the lines that go taken out of text; all other columns stay. A text with no lines left is empty, a null one null.
 
-    Needs distinct doc_ids for a defined order; rows that share one (or have none) lose the lines found under it in any of them.
+    emptied=False leaves out the rows whose text is empty because of the lines taken out.
     """
-    gone = duplicates(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    numbered = docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
+    rows, _ = keyed(docs)
+    gone = _gone(rows).groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return numbered.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    cleaned = rows.join(gone, "_row", "left").withColumn("text", text)
+    if not emptied:
+        cleaned = cleaned.where("_gone IS NULL OR text <> ''")
+    return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,21 @@ def test_edges(make_docs, edge_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = ld.duplicates(make_docs([(1, "a b c d\na b c d")]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_that_share_an_id_or_have_none_keep_their_own_lines(make_docs):
+    for doc_id in (None, 3):
+        got = ld.deduplicated(make_docs([(doc_id, "x y z\nunique1"), (doc_id, "unique2\nx y z"), (5, "other")])).collect()
+        texts = {r.text for r in got if r.doc_id == doc_id}
+        assert texts in ({"x y z\nunique1", "unique2"}, {"unique1", "unique2\nx y z"}) and len(got) == 3
+        got = ld.deduplicated(make_docs([(doc_id, "a b c\nd e"), (doc_id, "a b c\nf g"), (doc_id, "a b c\nd e")])).collect()
+        lines = [line for r in got for line in r.text.split("\n") if line]
+        assert sorted(lines) == ["a b c", "d e", "f g"]
+        assert len(ld.duplicates(make_docs([(doc_id, "same line")] * 50)).collect()) == 49
+
+
+def test_rows_of_one_id_are_not_multiplied(make_docs, rows):
+    want = brute(rows)
+    got = ld.deduplicated(make_docs(rows + [(None, t) for _, t in rows])).collect()
+    assert len(got) == 2 * len(rows) and want
+    assert all(not r.text.strip() for r in got if r.doc_id is not None)  # rows without an id come first
