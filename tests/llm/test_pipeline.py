@@ -68,3 +68,15 @@ def test_stages_take_empty_and_odd_rows(spark, make_docs, edge_docs):
         assert stage(spark, odd.limit(0), DIR).count() == 0, name
         assert stage(spark, odd, DIR).count() <= odd.count(), name
     assert line_dedup.deduplicated(odd).count() == odd.count()
+
+
+def test_filter_stages_lose_no_rows_of_their_own(spark, make_docs):
+    kept = ["some quite plain words stand here alone", "nothing of this is like the others at all", "", None]
+    docs = make_docs([(None, kept[0]), (None, kept[1]), (4, kept[2]), (5, "same text of many rows here"), (5, "same text of many rows here"), (5, "not like any other text in here"), (None, "same text of many rows here"), (2, "x y"), (2, "X  y")])
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    want = [(-1, kept[1]), (-1, kept[0]), (2, None), (4, ""), (5, "not like any other text in here"), (5, "same text of many rows here")]
+    assert sorted((r.doc_id or -1, r.text if r.doc_id != 2 else "") for r in near) == sorted((i, t or "") for i, t in want)
+    docs = make_docs([(1, None), (2, ""), (3, "a b c"), (4, "a b c"), (None, "d e f"), (4, " \n")])
+    lines = corpus_pipeline.line_dedup_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in lines) == [(-1, "d e f"), (1, ""), (2, ""), (3, "a b c"), (4, " \n")]
+    assert [r.text for r in lines if r.doc_id == 1] == [None]
