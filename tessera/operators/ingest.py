@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def append(*slices: DataFrame) -> DataFrame:
     """All rows of all slices, which must agree in column names."""
@@ -15,8 +17,9 @@ def append(*slices: DataFrame) -> DataFrame:
 
 def with_sequence(df: DataFrame, *order_by: str | Column, start: int = 0) -> DataFrame:
     """df with seq: start, start + 1, ... in the given order. Rows are range-partitioned and numbered within their partition, and the partitions'
-    offsets (one number each) are joined on, so no task holds more than its share."""
-    ranged = df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id())
+    offsets (one number each) are joined on, so no task holds more than its share. The ranged rows are written once to the shared folder, as
+    two exchanges of them might be cut at different bounds."""
+    ranged = written(df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()), "sequence")
     by_part = Window.partitionBy("_part").orderBy(*order_by)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     # one row for each partition of the range exchange: a bounded window

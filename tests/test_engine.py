@@ -170,3 +170,11 @@ def test_spilled_writer_order_is_time_order(spark, demo, tmp_path):
     for f in files:
         part = [(r.chunk_seq, r.time, r.seq) for r in spark.read.parquet(f).select("chunk_seq", "time", "seq").collect()]
         assert part == sorted(part)
+
+
+def test_sequence_counts_and_numbers_one_exchange(spark):
+    rows = spark.range(20_000).select((F.hash("id") % 1000).alias("k"), F.col("id").alias("i"), F.repeat(F.lit("v"), 50).alias("v"))
+    out = ingest.with_sequence(rows, "k")
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()  # no range exchange is left to be made twice
+    got = [(r.seq, r.k) for r in out.select("seq", "k").collect()]
+    assert sorted(s for s, _ in got) == list(range(20_000)) and [k for _, k in sorted(got)] == sorted(k for _, k in got)
