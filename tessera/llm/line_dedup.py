@@ -19,7 +19,10 @@ always stay.
   class is paired with that one only. Of a thousand variants of a line, each is
   thus paired with the first, not with a thousand others. A class whose pairs all
   fail verification is then searched again without this shortcut.
+* What is dealt by word is narrow (word, line, size and place, parity), once; the
+  second half of long lines' parities is asked for by the pairs that are left.
 * Candidates are verified on the words themselves.
+* Tables are deleted as soon as nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -27,24 +30,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, table, written
+from .common import drop_written, keyed, named, table, written
 
 BUCKETS = 1 << 17
 NUM, DEN = 4, 5  # the least similarity, as a fraction
 BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
 WIDE = 64
 _HASH = (1 << 56) - 1
-_PARITIES = ("parity", "half")  # the first is both halves in one; the second is null for short lines
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
 
 
+def _bits(value: Column, mask: int) -> Column:
+    return value.bitwiseAND(F.lit(mask))
+
+
 def rarity(docs: DataFrame) -> str:
     """The logarithm of each hash bucket's word count over all documents, as a list of BUCKETS numbers."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("c"))
+    words = docs.select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("w"))
+    counts = words.groupBy(_bits(F.xxhash64("w"), BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("c"))
     found = {r.b: r.q for r in counts.select("b", F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).alias("q")).collect()}
     return ",".join(str(found.get(b, 0)) for b in range(BUCKETS))
 
@@ -54,24 +60,27 @@ def _each(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, counts: str) -> DataFrame:
-    """A row for each line with words: _row, line_no, n, its class (h1, h2), parity, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
+    """A row for each line with words: _row, line_no, n, its class (h1, h2), parity, half, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
     # the folded literal is a constant of each task; a look-up is an array access
     ranks = F.split(F.lit(counts), ",").cast("array<int>")
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.call_function("shiftleft", F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
+    def shifted(number: Column, by: int) -> Column:
+        return F.call_function("shiftleft", number.cast("long"), F.lit(by))
 
-    keys = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), key)), key(F.lit("")))
-    each = _each(docs).where(F.col("line").rlike("[^ ]")).select("_row", "line_no", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
+    def ordered(h: Column) -> Column:
+        return shifted(F.get(ranks, _bits(h, BUCKETS - 1).cast("int")), 56).bitwiseOR(_bits(h, _HASH))
 
-    def parity(keys: Column) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    # each word is hashed once; what is done for each word of all lines is interpreted by Spark, so there is little of it
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    each = _each(docs).where(F.col("line").rlike("[^ ]")).select("_row", "line_no", F.sort_array(F.transform(hashes, ordered)).alias("keys")).withColumn("n", F.size("keys"))
 
-    half = F.when(F.col("n") >= WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64)))
+    def parity(bit) -> Column:
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", bit(k), _bits(k, 63).cast("int"))))
+
+    half = F.when(F.col("n") >= WIDE, parity(lambda k: _bits(F.shiftright(k, 6), 1)))
     return each.select(
-        "_row", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(F.col("keys")).alias("parity"), half.alias("half"),
-        F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
+        "_row", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(lambda k: F.lit(1).cast("long")).alias("parity"), half.alias("half"),
+        F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: _bits(k, (1 << 31) - 1).cast("int")).alias("prefix"),
     )
 
 
@@ -81,84 +90,96 @@ def _passes(a: str, b: str) -> str:
     wide = f"bit_count({a}half ^ {b}half) + bit_count({a}parity ^ {b}parity ^ {a}half ^ {b}half)"
     return (
         f"bit_count({a}parity ^ {b}parity) * {NUM + DEN} <= {most} AND {a}n * {DEN} >= {b}n * {NUM} AND {b}n * {DEN} >= {a}n * {NUM} "
-        f"AND (1 + least({a}n - {a}i, {b}n - {b}i)) * {NUM + DEN} >= {NUM} * ({a}n + {b}n) "
-        f"AND ({a}n < {WIDE} OR {b}n < {WIDE} OR ({wide}) * {NUM + DEN} <= {most})"
+        f"AND (1 + least({a}n - {a}i, {b}n - {b}i)) * {NUM + DEN} >= {NUM} * ({a}n + {b}n) AND coalesce(({wide}) * {NUM + DEN} <= {most}, true)"
     )
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """found with pos, a long that orders lines as (_row, line_no) do: both numbers in one where they fit, else their places in a global sort."""
-    top = found.agg(F.max("line_no"), F.max("_row"), F.min("_row")).first()
-    bits = max(1, (top[0] or 0).bit_length())
-    if max(abs(top[1] or 0), abs(top[2] or 0)).bit_length() + bits > 62:
-        places = found.select("_row", "line_no").orderBy("_row", "line_no").withColumn("pos", F.monotonically_increasing_id())
-        places = written(places, "line-dedup-places").toDF("d", "l", "pos")
-        return written(found.join(places, (F.col("_row") == F.col("d")) & (F.col("line_no") == F.col("l"))).drop("d", "l"), "line-dedup-numbered")
-    return found.withColumn("pos", F.shiftleft("_row", bits).bitwiseOR(F.col("line_no").cast("long")))
+def packed(found: DataFrame) -> tuple[DataFrame, int]:
+    """found with pos, a long that holds _row and, in so many low bits, line_no: it orders lines as the two do and names them."""
+    longest, least, most = found.agg(F.max("line_no"), F.min("_row"), F.max("_row")).first()
+    bits = max(1, (longest or 0).bit_length())
+    if max(abs(least or 0), abs(most or 0)).bit_length() + bits > 62:
+        raise OverflowError("rows times lines of the longest text go beyond 2**62")
+    return found.withColumn("pos", F.shiftleft("_row", bits).bitwiseOR(F.col("line_no").cast("long"))), bits
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """A row for each word set: its hashes and its first line's pos."""
-    return found.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("n", *_PARITIES, "prefix")))
+    """A row for each word set: its hashes, its number of lines and its first line's pos."""
+    return found.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "half", "prefix")))
 
 
 def _entries(kinds: DataFrame) -> DataFrame:
-    each = kinds.select("pos", "n", *_PARITIES, F.posexplode("prefix").alias("i", "key"))
+    """A narrow row for each word of a prefix: at holds n and the word's place (from 1) in the prefix."""
+    each = kinds.select("pos", "n", "parity", "half", F.posexplode("prefix").alias("i", "key"))
+    each = each.select("key", "pos", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + F.lit(1).cast("long")).alias("at"), "parity", "half")
     # with these conditions on both sides of the join no more are inferred for one of them, and both read one exchange
-    each = each.where(" AND ".join(f"{c} IS NOT NULL" for c in ("key", "pos", "n", "i", "parity")))
-    return each.select("key", "pos", "n", (F.col("i") + 1).alias("i"), *_PARITIES)
+    return each.where("key IS NOT NULL AND pos IS NOT NULL AND CAST(shiftright(at, 32) AS INT) IS NOT NULL AND parity IS NOT NULL")
+
+
+def _unpacked(entries: DataFrame) -> DataFrame:
+    return entries.select("key", "pos", F.shiftright("at", 32).cast("int").alias("n"), _bits(F.col("at"), (1 << 32) - 1).cast("int").alias("i"), "parity", "half")
 
 
 def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
     """pos, other: later's entries with all earlier ones of their word that pass."""
-    # qualified names, not renamed columns: so the exchange is the one that later was made from
     both = later.alias("b").join(entries.alias("a"), F.col("a.key") == F.col("b.key"))
     return both.where(f"a.pos < b.pos AND {_passes('a.', 'b.')}").select(F.col("b.pos").alias("pos"), F.col("a.pos").alias("other"))
 
 
 def candidates(kinds: DataFrame) -> DataFrame:
-    """pos, other: each class with each word's first class if that passes, else with all that pass."""
-    entries = _entries(kinds)
+    """pos, other, led: each class with each word's first class if that passes (led), else with all that pass."""
+    entries = _unpacked(_entries(kinds).repartition("key"))
     by_word = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = entries.withColumn("l", F.first(F.struct("pos", "n", "i", *_PARITIES)).over(by_word))
-    led = led.withColumn("leader", F.expr(f"CASE WHEN l.pos < pos AND {_passes('l.', '')} THEN l.pos END"))
-    pairs = _paired(led.where("leader IS NULL").select(*entries.columns), entries)
-    return pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"))).distinct()
+    led = entries.withColumn("l", F.first(F.struct("pos", "n", "i", "parity", "half")).over(by_word)).where("l.pos < pos")
+    led = led.withColumn("leader", F.expr(f"CASE WHEN {_passes('l.', '')} THEN l.pos END"))
+    pairs = _paired(led.where("leader IS NULL").select("key", "pos", "n", "i", "parity", "half"), entries).withColumn("led", F.lit(0))
+    pairs = pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"), F.lit(1).alias("led")))
+    return pairs.groupBy("pos", "other").agg(F.max("led").alias("led"))
 
 
 def _few(rows: DataFrame, count: int) -> DataFrame:
     return F.broadcast(rows) if count <= BROADCAST_PAIRS else rows
 
 
-def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """pos, other, same: whether the words of the two lines match. Only the lines named are split into words again."""
+def _place(pos: str, bits: int) -> list[Column]:
+    return [F.shiftright(pos, bits).alias("_row"), _bits(F.col(pos), (1 << bits) - 1).cast("int").alias("line_no")]
+
+
+def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
+    """pos, other, led, same: whether the words of the two lines match. Only the lines named are split into words again, each once."""
     pairs = written(pairs, "line-dedup-pairs")
-    count = 2 * pairs.count()
-    named = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
-    wanted = found.select("pos", "_row", "line_no").join(_few(named, count), "pos").withColumnRenamed("_row", "d").withColumnRenamed("line_no", "l")
-    text = _each(docs).join(_few(wanted, count), (F.col("_row") == F.col("d")) & (F.col("line_no") == F.col("l"))).select("pos", "line")
-    text = written(text, "line-dedup-text")
-    both = pairs.join(text, "pos").join(text.toDF("other", "line2"), "other")
-    words = both.select("pos", "other", _words(F.col("line")).alias("x"), _words(F.col("line2")).alias("y"))
-    return words.select("pos", "other", (F.size(F.array_intersect("x", "y")) * (NUM + DEN) >= NUM * (F.size("x") + F.size("y"))).alias("same"))
+    wanted = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
+    owners = wanted.select("pos", *_place("pos", bits)).groupBy("_row").agg(F.collect_list(F.struct("line_no", "pos")).alias("l"))
+    split = docs.join(_few(owners, 2 * pairs.count()), "_row").select(F.split("text", "\n").alias("t"), F.explode("l").alias("l"))
+    text = written(split.select("l.pos", _words(F.get("t", F.col("l.line_no"))).alias("words")), "line-dedup-words")
+    both = pairs.join(text, "pos").join(text.toDF("other", "words2"), "other")
+    same = F.size(F.array_intersect("words", "words2")) * (NUM + DEN) >= NUM * (F.size("words") + F.size("words2"))
+    checked = written(both.select("pos", "other", "led", same.alias("same")), "line-dedup-checked")
+    drop_written(pairs, text)
+    return checked
 
 
 def _gone(rows: DataFrame) -> DataFrame:
     """_row, line_no of every line that goes, from rows with _row (see common.keyed) and text."""
     docs = rows.select("_row", "text").where("text is not null")
-    found = numbered(written(lines(docs, rarity(docs)), "line-dedup-lines"))
+    each = written(lines(docs, rarity(docs)), "line-dedup-lines")
+    found, bits = packed(each)
     kinds = written(classes(found), "line-dedup-classes")
-    checked = written(_verified(candidates(kinds), found, docs), "line-dedup-checked")
-    matched = checked.where("same").select("pos").distinct()
-    failed = written(checked.select("pos").distinct().join(matched, "pos", "left_anti"), "line-dedup-failed")
+    checked = _verified(candidates(kinds), bits, docs)
+    matched = written(checked.where("same").select("pos").distinct(), "line-dedup-matched")
+    # only what was paired with a word's first class has not been searched in full
+    failed = written(checked.where("led = 1").select("pos").distinct().join(matched, "pos", "left_anti"), "line-dedup-failed")
     count = failed.count()
     if count:
-        again = _entries(kinds.join(_few(failed, count), "pos"))
-        again = _paired(_few(again, 64 * count), _entries(kinds)).distinct().join(checked.select("pos", "other"), ["pos", "other"], "left_anti")
-        matched = matched.unionByName(_verified(again, found, docs).where("same").select("pos").distinct())
-    firsts = kinds.select("h1", "h2", F.col("pos").alias("first")).join(matched.withColumn("gone", F.lit(True)), F.col("first") == F.col("pos"), "left").drop("pos")
-    members = found.select("h1", "h2", "_row", "line_no", "pos").join(firsts, ["h1", "h2"])
-    return members.where("gone OR pos > first").select("_row", "line_no")
+        again = _unpacked(_entries(kinds.join(_few(failed, count), "pos")))
+        again = _paired(_few(again, 64 * count), _unpacked(_entries(kinds))).distinct().join(checked.select("pos", "other"), ["pos", "other"], "left_anti")
+        matched = matched.unionByName(_verified(again.withColumn("led", F.lit(0)), bits, docs).where("same").select("pos").distinct())
+    firsts = matched.select(*_place("pos", bits))
+    repeated = kinds.where("copies > 1").select("h1", "h2", F.col("pos").alias("first"))
+    copies = found.join(_few(repeated, repeated.count()), ["h1", "h2"]).where("pos > first").select("_row", "line_no")
+    gone = written(firsts.unionByName(copies), "line-dedup-gone")
+    drop_written(each, kinds, checked, failed)
+    return gone
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -179,13 +200,14 @@ def deduplicated(docs: DataFrame, emptied: bool = True) -> DataFrame:
 
     emptied=False leaves out the rows whose text is empty because of the lines taken out.
     """
-    rows, _ = keyed(docs)
-    gone = _gone(rows).groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    cleaned = rows.join(gone, "_row", "left").withColumn("text", text)
+    row, gone = named(docs, "_row", "_gone")
+    rows, _ = keyed(docs, row)
+    lost = _gone(rows.select(F.col(row).alias("_row"), "text")).groupBy(F.col("_row").alias(row)).agg(F.collect_set("line_no").alias(gone))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    cleaned = rows.join(lost, row, "left").withColumn("text", text)
     if not emptied:
-        cleaned = cleaned.where("_gone IS NULL OR text <> ''")
+        cleaned = cleaned.where(f"{gone} IS NULL OR text <> ''")
     return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
