@@ -15,6 +15,8 @@ always stay.
   positional filters and the parity filter: each word flips one of 64 bits, so
   two sets' parities differ in no more bits than the sets in words. Lines of WIDE
   words or more carry 128 such bits, as 64 are soon even between long lines.
+* Lines are dealt by word and size band, so a frequent word's lines meet only those of
+  their size, and no filter sees what the length excludes anyway.
 * In a word's group, a class that passes these filters against the group's first
   class is paired with that one only. Of a thousand variants of a line, each is
   thus paired with the first, not with a thousand others. A class whose pairs all
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, keyed, named, table, written
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 NUM, DEN = 4, 5  # the least similarity, as a fraction
 BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
 WIDE = 64
+BAND = 3.0  # lines are dealt by word and by size, in bands of this ratio
 _HASH = (1 << 56) - 1
 
 
@@ -72,7 +75,7 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
 
     # each word is hashed once; what is done for each word of all lines is interpreted by Spark, so there is little of it
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    each = _each(docs).where(F.col("line").rlike("[^ ]")).select("_row", "line_no", F.sort_array(F.transform(hashes, ordered)).alias("keys")).withColumn("n", F.size("keys"))
+    each = _each(docs).where(F.trim("line") != "").select("_row", "line_no", F.sort_array(F.transform(hashes, ordered)).alias("keys")).withColumn("n", F.size("keys"))
 
     def parity(bit) -> Column:
         return F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", bit(k), _bits(k, 63).cast("int"))))
@@ -109,9 +112,14 @@ def classes(found: DataFrame) -> DataFrame:
 
 
 def _entries(kinds: DataFrame) -> DataFrame:
-    """A narrow row for each word of a prefix: at holds n and the word's place (from 1) in the prefix."""
-    each = kinds.select("pos", "n", "parity", "half", F.posexplode("prefix").alias("i", "key"))
-    each = each.select("key", "pos", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + F.lit(1).cast("long")).alias("at"), "parity", "half")
+    """A narrow row for each word of a prefix, by word and size band: at holds n and the word's place (from 1) in the prefix.
+
+    A line is in its own band and in the one below if a line that matches it may be there, so the length filter is part of the key.
+    """
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9).cast("long")
+    bands = F.sequence(band(F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}")), band(F.col("n")))
+    each = kinds.select("pos", "n", "parity", "half", "prefix", F.explode(bands).alias("band")).select("pos", "n", "parity", "half", "band", F.posexplode("prefix").alias("i", "word"))
+    each = each.select(F.shiftleft(F.col("word").cast("long"), 8).bitwiseOR(F.col("band")).alias("key"), "pos", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + F.lit(1).cast("long")).alias("at"), "parity", "half")
     # with these conditions on both sides of the join no more are inferred for one of them, and both read one exchange
     return each.where("key IS NOT NULL AND pos IS NOT NULL AND CAST(shiftright(at, 32) AS INT) IS NOT NULL AND parity IS NOT NULL")
 
@@ -129,8 +137,8 @@ def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
 def candidates(kinds: DataFrame) -> DataFrame:
     """pos, other, led: each class with each word's first class if that passes (led), else with all that pass."""
     entries = _unpacked(_entries(kinds).repartition("key"))
-    by_word = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = entries.withColumn("l", F.first(F.struct("pos", "n", "i", "parity", "half")).over(by_word)).where("l.pos < pos")
+    # no order within a group: one sort column lets Spark sort by radix
+    led = entries.withColumn("l", F.min(F.struct("pos", "n", "i", "parity", "half")).over(Window.partitionBy("key"))).where("l.pos < pos")
     led = led.withColumn("leader", F.expr(f"CASE WHEN {_passes('l.', '')} THEN l.pos END"))
     pairs = _paired(led.where("leader IS NULL").select("key", "pos", "n", "i", "parity", "half"), entries).withColumn("led", F.lit(0))
     pairs = pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"), F.lit(1).alias("led")))
@@ -150,8 +158,9 @@ def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
     pairs = written(pairs, "line-dedup-pairs")
     wanted = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
     owners = wanted.select("pos", *_place("pos", bits)).groupBy("_row").agg(F.collect_list(F.struct("line_no", "pos")).alias("l"))
-    split = docs.join(_few(owners, 2 * pairs.count()), "_row").select(F.split("text", "\n").alias("t"), F.explode("l").alias("l"))
-    text = written(split.select("l.pos", _words(F.get("t", F.col("l.line_no"))).alias("words")), "line-dedup-words")
+    found = docs.join(_few(owners, 2 * pairs.count()), "_row").select("l", F.split("text", "\n").alias("t"))
+    found = found.select(F.explode(F.transform("l", lambda x: F.struct(x.pos.alias("pos"), F.get("t", x.line_no).alias("line")))).alias("x"))
+    text = written(found.select("x.pos", _words(F.col("x.line")).alias("words")), "line-dedup-words")
     both = pairs.join(text, "pos").join(text.toDF("other", "words2"), "other")
     same = F.size(F.array_intersect("words", "words2")) * (NUM + DEN) >= NUM * (F.size("words") + F.size("words2"))
     checked = written(both.select("pos", "other", "led", same.alias("same")), "line-dedup-checked")

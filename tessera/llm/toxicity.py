@@ -2,10 +2,12 @@
 
 Kernel of two words: the sum, over all 3-character subsequences they share that
 span at most SPAN characters, of DECAY to the number of skipped characters in
-either word, divided by both words' norms. Skipped characters only lower a
+either word, divided by both words' norms (a subsequence that a word holds several
+times counts with the sum of its weights). Skipped characters only lower a
 subsequence's weight, so "idXiot" or "i-d-i-o-t" stay close to the word they
-hide; single letters set apart by spaces are joined to one word first. A word
-carries a mark at either end.
+hide; single letters set apart by spaces are joined to one word first, and such a
+word counts as the worst of itself and itself without its first or its last letter,
+as these may be words of their own ("a", "I", "y"). A word carries a mark at either end.
 
 Training (on the driver, over a bounded sample of labelled texts): words that
 speak most for either label are the landmarks; a word's features are its kernels
@@ -27,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import labelled, table
 
 ALPHABET = 32
 SPAN, DECAY = 7, 0.6
 TRAIN_ROWS = 2500  # labelled texts of each class at most, the first by a hash of their id
-TRAIN_CHARS = 40_000_000  # and no more characters than this in all
+TRAIN_CHARS = 20_000_000  # characters of each class at most, in the same order
+TRAIN_TEXT = 1_000_000  # a longer text is no training text
 LANDMARKS = 256
 ROUNDS = 6
 CHUNK = 1_000_000  # characters worked on at once
+KNOWN_WORDS = 1_000_000  # margins of so many words are kept by a task
 CUT = 0.7
 _PAIRS = [(j, k) for k in range(2, SPAN + 1) for j in range(1, k)]
 _MARK, _SPACE = ALPHABET - 1, 255
@@ -62,8 +66,8 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts as one array of letter codes with a mark before and after each, the words' starts, and each word's text."""
+def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as one array of letter codes with a mark before and after each, the words' starts, each word's text, and whether it was joined from single letters."""
     points = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
     codes = CODES[np.minimum(points, 0x2FFF)]
     lengths = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
@@ -73,7 +77,9 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     glue = np.zeros(len(codes), bool)
     if len(codes) > 4:
         glue[2:-2] = space[2:-2] & space[:-4] & space[4:] & ~space[1:-3] & ~space[3:-1]
-    codes, owner, space = codes[~glue], owner[~glue], space[~glue]
+    glued = np.zeros(len(codes), bool)
+    glued[1:] = glue[:-1]  # the letter after a space that goes
+    codes, owner, space, glued = codes[~glue], owner[~glue], space[~glue], glued[~glue]
     first = ~space[1:] & space[:-1]
     # of each run of spaces the last one is kept, as the mark before the next word; its fellow after the word is put in
     starts = np.flatnonzero(first)
@@ -87,31 +93,105 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner[begin] = False
     inner[begin + sizes] = False
     out[inner] = codes[at[inner]]
-    return out, begin.astype(np.int64), owner[starts + 1] if len(starts) else np.zeros(0, np.int32)
+    # the second letter of a joined word follows a space that went
+    joined = glued[np.minimum(starts + 2, len(glued) - 1)] & (sizes > 2) if len(starts) else np.zeros(0, bool)
+    return out, begin.astype(np.int64), owner[starts + 1] if len(starts) else np.zeros(0, np.int32), joined
 
 
-def _norms(sizes: np.ndarray) -> np.ndarray:
-    """The norm of a word of so many codes, no subsequence occurring twice."""
-    squares = sum(np.maximum(sizes - k, 0) * DECAY ** (2 * (k - 2)) for _, k in _PAIRS)
-    return np.sqrt(np.maximum(squares, 1.0))
+def _sizes(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(begin, len(codes)))
+
+
+def _subsequences(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every subsequence of every word: the word's number, the subsequence, its weight; one that occurs several times has several rows."""
+    sizes = _sizes(codes, begin)
+    word = np.repeat(np.arange(len(begin)), sizes)
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(codes))  # codes from here to the word's end
+    words, found, weights = [], [], []
+    for j, k in _PAIRS:
+        at = np.flatnonzero(left > k)
+        words.append(word[at])
+        found.append((codes[at].astype(np.int64) << 10) | (codes[at + j] << 5) | codes[at + k])
+        weights.append(np.full(len(at), DECAY ** (k - 2)))
+    return np.concatenate(words), np.concatenate(found), np.concatenate(weights)
+
+
+def _norms(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The norm of each word's subsequence features; 1 at least, for words too short to have any."""
+    if not len(begin):
+        return np.zeros(0)
+    word, found, weight = _subsequences(codes, begin)
+    key = (word << 15) | found
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(weight, first) if len(first) else np.zeros(0)
+    return np.sqrt(np.maximum(np.bincount(key[first] >> 15, weights=sums**2, minlength=len(begin)), 1.0))
 
 
 def word_margins(codes: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Of each word, the folded weights of its subsequences, over its norm."""
     if not len(begin):
         return np.zeros(0)
-    sizes = np.diff(np.append(begin, len(codes)))
-    left = np.repeat(begin + sizes, sizes) - np.arange(len(codes))  # codes from here to the word's end
+    sizes = _sizes(codes, begin)
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(codes))
     total = np.zeros(len(codes), dtype=np.float64)
     for j, k in _PAIRS:
         n = len(codes) - k
         if n > 0:
             index = (codes[:n] << 10) | (codes[j : j + n] << 5) | codes[k : k + n]
             total[:n] += np.where(left[:n] > k, weights[index], 0.0) * DECAY ** (k - 2)
-    return np.add.reduceat(total, begin) / _norms(sizes)
+    return np.add.reduceat(total, begin) / _norms(codes, begin)
+
+
+def _chosen(codes: np.ndarray, begin: np.ndarray, rows: np.ndarray, skip: int = 0, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the given numbers, without so many letters at the front and at the end."""
+    sizes = _sizes(codes, begin)[rows] - skip - cut
+    start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    at = np.arange(int(sizes.sum())) - np.repeat(start, sizes) + np.repeat(begin[rows] + skip, sizes)
+    out = codes[at]
+    if len(rows):
+        out[start] = _MARK
+        out[start + sizes - 1] = _MARK
+    return out, start
+
 
+_STEPS = np.random.default_rng(31).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
-def evidence(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+
+def _names(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    sizes = _sizes(codes, begin)
+    place = np.arange(len(codes)) - np.repeat(begin, sizes)
+    turn = (place >> 6).astype(np.uint64) + np.uint64(1)
+    h = (codes.astype(np.uint64) + np.uint64(1)) * _STEPS[place & 63] * (turn * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+    h = np.add.reduceat(h ^ (h >> np.uint64(29)), begin) + sizes.astype(np.uint64)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Margins:
+    """Word margins under one model. Each distinct word is worked out once; a task keeps those of KNOWN_WORDS."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.names, self.values = weights, np.zeros(0, np.uint64), np.zeros(0)
+
+    def __call__(self, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        names, first, back = np.unique(_names(codes, begin), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.names, names)
+        held = at < len(self.names)
+        held[held] = self.names[at[held]] == names[held]
+        out = np.zeros(len(names))
+        out[held] = self.values[at[held]]
+        if not held.all():
+            out[~held] = word_margins(*_chosen(codes, begin, first[~held]), self.weights)
+            if len(self.names) > KNOWN_WORDS:
+                self.names, self.values, at = np.zeros(0, np.uint64), np.zeros(0), np.zeros(len(at), np.int64)
+            self.names = np.insert(self.names, at[~held], names[~held])
+            self.values = np.insert(self.values, at[~held], out[~held])
+        return out[back]
+
+
+def evidence(texts: list[str], margins: Margins, bias: float) -> np.ndarray:
     """A row for each text: its highest word margin, the log of its words' summed positive margins, and that sum's share of all words; -1, 0, 0 without words. In chunks, so memory does not grow with the batch."""
     out, i = np.tile([-1.0, 0.0, 0.0], (len(texts), 1)), 0
     while i < len(texts):
@@ -119,9 +199,14 @@ def evidence(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
         while j < len(texts) and (j == i or n + len(texts[j]) <= CHUNK):
             n += len(texts[j])
             j += 1
-        codes, begin, owner = _stream(texts[i:j])
+        codes, begin, owner, joined = _stream(texts[i:j])
         if len(begin):
-            values = np.clip(word_margins(codes, begin, weights) + bias, -1.0, 1.0)
+            values = margins(codes, begin)
+            rows = np.flatnonzero(joined)
+            if len(rows):
+                for skip, cut in ((1, 0), (0, 1)):
+                    values[rows] = np.maximum(values[rows], margins(*_chosen(codes, begin, rows, skip, cut)))
+            values = np.clip(values + bias, -1.0, 1.0)
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             has, total = owner[first] + i, np.add.reduceat(np.maximum(values, 0), first)
             words = np.diff(np.append(first, len(owner)))
@@ -140,27 +225,23 @@ def _mapped(words: list[bytes], to: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), to.shape[1]))
     for i in range(0, len(words), 1000):
         codes, begin = _joined(words[i : i + 1000])
-        sizes = np.diff(np.append(begin, len(codes)))
+        sizes = _sizes(codes, begin)
         left = np.repeat(begin + sizes, sizes) - np.arange(len(codes))
         total = np.zeros((len(codes), to.shape[1]), dtype=np.float32)
         for j, k in _PAIRS:
             at = np.flatnonzero(left > k)
             total[at] += to[(codes[at] << 10) | (codes[at + j] << 5) | codes[at + k]] * np.float32(DECAY ** (k - 2))
-        out[i : i + 1000] = np.add.reduceat(total, begin) / _norms(sizes)[:, None]
+        out[i : i + 1000] = np.add.reduceat(total, begin) / _norms(codes, begin)[:, None]
     return out
 
 
 def _features(words: list[bytes]) -> np.ndarray:
     """Explicit subsequence features of a few words, normed: a row each."""
     out = np.zeros((len(words), ALPHABET**3), dtype=np.float32)
-    for row, word in enumerate(words):
-        c = np.frombuffer(word, dtype=np.uint8).astype(np.int64)
-        for j, k in _PAIRS:
-            n = len(c) - k
-            if n > 0:
-                np.add.at(out[row], (c[:n] << 10) | (c[j : j + n] << 5) | c[k : k + n], DECAY ** (k - 2))
-        out[row] /= _norms(np.array([len(c)]))[0]
-    return out
+    codes, begin = _joined(words)
+    word, found, weight = _subsequences(codes, begin)
+    np.add.at(out, (word, found), weight.astype(np.float32))
+    return out / _norms(codes, begin)[:, None].astype(np.float32)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -184,7 +265,7 @@ def fit(texts: list[str], labels: list[int]) -> dict:
         return dict(IGNORANT)
     words, seen = [], [Counter(), Counter()]
     for t, label in zip(texts, labels):
-        codes, begin, _ = _stream([t])
+        codes, begin, _, _ = _stream([t])
         raw, ends = codes.astype(np.uint8).tobytes(), [*begin[1:].tolist(), len(codes)]
         own = {raw[b:e] for b, e in zip(begin.tolist(), ends) if e - b > 3}
         words.append(own)
@@ -196,6 +277,8 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     clean = sorted(seen[0])
     marks = best[: LANDMARKS // 2] + [clean[i] for i in rng.choice(len(clean), min(LANDMARKS // 2, len(clean)), replace=False)]
     marks = list(dict.fromkeys(marks))
+    if not marks:  # texts without words
+        return dict(IGNORANT)
     phi = _features(marks)
     value, vector = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = value > 1e-4 * value[-1]
@@ -230,7 +313,7 @@ def fit(texts: list[str], labels: list[int]) -> dict:
         weights, bias = (to_features @ w[:-1]).astype(np.float32), float(w[-1])
     if weights is None:
         return dict(IGNORANT)
-    x = evidence(texts, weights, bias)
+    x = evidence(texts, Margins(weights), bias)
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     w = _logistic((x - mean) / spread, y)
     combine = np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
@@ -257,18 +340,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int) -> list[tuple[str, int]]:
-    """At most so many labelled texts of each class, the first by a hash of their id: a bound on what reaches the driver."""
-    named = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).where(allowed)
+    """Texts and labels to learn from: of each class at most so many rows and TRAIN_CHARS characters, the first by a hash of their id. Spark applies both bounds, so no more reaches the driver."""
+    found = labelled(docs, labels, label, allowed, rows).where(F.length("text") <= TRAIN_TEXT)
     order = F.xxhash64(F.col("doc_id"))
-    picked = named.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(named.where("y = 0").orderBy(order, "doc_id").limit(rows))
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    left, out = TRAIN_CHARS, []
-    for r in sorted(found.select("text", "y", order.alias("o")).toLocalIterator(), key=lambda r: (r.o, r.text)):
-        left -= len(r.text)
-        if left < 0:
-            break
-        out.append((r.text, r.y))
-    return out
+    # a class has at most so many rows here, so the window is bounded
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = found.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_CHARS).select("text", "y", order.alias("o"), "doc_id").toLocalIterator()
+    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.o, r.doc_id))]
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
@@ -277,9 +355,10 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        margins = Margins(m["weights"])
         for b in batches:
             texts = [t or "" for t in b["text"]]
-            z = evidence(texts, m["weights"], m["bias"]) @ m["combine"][:-1] + m["combine"][-1] - m["cut"] + np.log(CUT / (1 - CUT))
+            z = evidence(texts, margins, m["bias"]) @ m["combine"][:-1] + m["combine"][-1] - m["cut"] + np.log(CUT / (1 - CUT))
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 
     return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
