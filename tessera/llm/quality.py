@@ -3,9 +3,9 @@
 A document's strength is linear in features of its whole text. Preference pairs
 are drawn between training texts of either label (the better one wins), and the
 weights minimise the logistic loss of the pairs' feature differences. The cut is
-the quantile of the training strengths that leaves the share of rejected labels
-below it, moved to the best split nearby; the score is a logistic function of
-the distance to it, 0.7 at the cut.
+a quantile of the training strengths: that of the rejected labels' share, or any
+other given. No label is looked at to place it. The score is a logistic function
+of the distance to it, 0.7 at the cut.
 
 Training runs on the driver over the features (not the texts) of a bounded
 sample of labelled rows; scoring is one pass without a shuffle.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import labelled, table
 from .toxicity import held_out
 
 TRAIN_ROWS = 8000  # labelled rows of each label at most, the first by a hash of their id
@@ -69,8 +69,8 @@ def _features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t or "").tolist() for t in b["text"]]})
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> dict:
-    """Weights over standardised features. With one label only nothing can be ranked: the model keeps every text."""
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 11, quantile: float | None = None) -> dict:
+    """Weights over standardised features. With one label only nothing can be ranked: the model keeps every text. quantile: the share of training rows under the cut, by default that of label 0."""
     x, y = np.asarray(x, dtype=float).reshape(-1, FEATURES), np.asarray(y)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
@@ -90,14 +90,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> dict:
         if np.abs(step).max() < 1e-6:
             break
     s = z @ w
-    order = np.sort(s)
-    at = int(len(bad) / len(s) * len(s))
-    near = np.unique(np.clip(np.arange(at - len(bad) // 2, at + len(bad) // 2 + 1), 1, len(s) - 1))
-    by = np.argsort(s, kind="stable")
-    below_bad = np.concatenate([[0], np.cumsum(y[by] == 0)])[near] / len(bad)
-    below_good = np.concatenate([[0], np.cumsum(y[by] == 1)])[near] / len(good)
-    best = int(near[np.argmax(below_bad - 2 * below_good)])  # a lost good text counts twice
-    cut = float((order[best - 1] + order[best]) / 2)
+    cut = float(np.quantile(s, len(bad) / len(s) if quantile is None else quantile, method="midpoint"))
     return {"weights": w, "mean": mean, "spread": spread, "cut": cut, "scale": float(np.std(s) or 1.0)}
 
 
@@ -107,11 +100,8 @@ def strength(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = TRAIN_ROWS) -> dict:
-    """Fit on the labelled rows allowed. The rows picked are few and bounded, so they are broadcast to the texts."""
-    named = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y")).where(allowed)
-    order = F.xxhash64(F.col("doc_id"))
-    picked = named.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(named.where("y = 0").orderBy(order, "doc_id").limit(rows))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    """Fit on the labelled rows allowed. Only their features reach the driver, of so many rows of each label at most."""
+    texts = labelled(docs, labels, "quality", allowed, rows)
 
     def with_label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

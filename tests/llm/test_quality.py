@@ -37,3 +37,49 @@ def test_edges(spark, edge_docs):
 def test_features_of_whole_text():
     assert not q.features("").any()
     assert (q.features("a b c " * 10_000) != q.features("a b c " * 10_000 + "!!!! " * 10_000)).any()
+
+
+def plain_features(text):
+    """The features of a text, one by one."""
+    raw = text.encode()
+    words = raw.split()
+    if not words:
+        return np.zeros(q.FEATURES)
+    shares = [sum(bytes([c]) in g.encode() for c in raw) / len(raw) for g in q._GROUPS] + [sum(c > 127 for c in raw) / len(raw)]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n, distinct = len(words), len(set(words))
+    pairs = len({(words[i], words[i + 1]) for i in range(n - 1)}) / (n - 1) if n > 1 else 1.0
+    rest = [
+        np.log(1 + len(raw)), np.log(1 + n), min(n / 20, 1), min(n / 100, 1), len(raw) / n / 10, np.log(1 + max(len(w) for w in words)), distinct / n, distinct / n**0.75, pairs,
+        sum(words[i] == words[i + 1] for i in range(n - 1)) / n, sum(w.isupper() for w in words) / n, sum(w.isalnum() for w in words) / n, len(set(lines)) / len(lines), np.log(1 + n / len(lines)),
+    ]
+    return np.array(shares + [x**0.5 for x in shares] + rest)
+
+
+def test_scores_match_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 20000")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = q.train(docs, labels, ~q.held_out(2, 4))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    train = [(plain_features(rows[r.doc_id]), r.quality) for r in labels.where(~q.held_out(2, 4)).collect() if r.doc_id in rows and r.quality is not None]
+    x, y = np.array([f for f, _ in train]), np.array([k for _, k in train])
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6), -8, 8) @ model["weights"]
+    under = np.sort(z)
+    share = int((y == 0).sum())
+    assert under[share - 1] <= model["cut"] <= under[share]  # a quantile of the strengths, whatever the labels are
+    for r in q.scores(docs, model).collect():
+        s = (np.clip((plain_features(rows[r.doc_id]) - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6), -8, 8) @ model["weights"] - model["cut"]) / z.std()
+        assert abs(r.score - 1 / (1 + np.exp(-(2 * s + np.log(q.CUT / (1 - q.CUT)))))) < 1e-6
+
+
+def test_weights_are_those_of_least_loss():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(60, q.FEATURES)), rng.integers(0, 2, 60)
+    model = q.fit(x, y, seed=3)
+    draw = np.random.default_rng(3)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    diff = z[draw.choice(good, 2400)] - z[draw.choice(bad, 2400)]
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).mean() + 5e-4 * w @ w
+    best = loss(model["weights"])
+    assert all(loss(model["weights"] + 0.01 * rng.normal(size=q.FEATURES)) > best for _ in range(50))
