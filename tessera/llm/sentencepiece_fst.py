@@ -1,19 +1,22 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted transducer.
 
-Three machines are compiled from a model file and composed with each input:
+Four machines are compiled from a model file into one and composed with each input:
 
-* the normaliser writes U+2581 for each space and one before the text;
+* the normaliser maps a space to U+2581 (and writes one before the text). It is composed
+  with the pieces at compile time: an arc of theirs that reads U+2581 reads a space too;
 * the piece machine is a trie over all pieces; taking a piece costs minus its score;
-* the byte machine spells a character that is no piece as its UTF-8 bytes.
-
-Weights live in the tropical semiring (a path adds, alternatives take the least).
-For a unigram model the least path is the encoding. For a byte-pair model scores
-are ranks, and their sum does not pick the merges' result; there the composition
-has a fourth machine, of the piece taken last: a piece may follow another only if
-merging the two pieces' joined text gives back just these two. Every prefix of an
-input then has exactly one path, and that path is the merges' result, since what
-merges on one side of a boundary never depends on the other side unless the
-boundary itself is merged.
+* the byte machine spells a character that is no piece as the pieces of its UTF-8
+  bytes, at a cost beyond that of any piece;
+* for byte-pair models, whose scores are merge ranks, the bigram machine, whose
+  state is the piece taken last: a piece may follow another only if
+  merging the two pieces' joined text gives back just these two.
+
+Weights live in the tropical semiring (a path adds, alternatives take the least);
+the encoding is the least path that the composition accepts, found from left to right.
+For a unigram model the last machine is left out. For a byte-pair model least sums of ranks alone
+are not the merges' result; with the last machine every prefix of an input has one accepted path,
+since what merges on one side of a boundary never depends on the other side unless the
+boundary itself is merged. So one state is kept for each position, and the least path is the merges' result.
 
 Inputs are composed unit by unit: no piece has a space mark after another
 character, so paths never cross a word's start. Each task keeps the paths of
@@ -91,9 +94,10 @@ class Transducer:
                 node[""] = (i, -model["scores"][i])
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("pieces that run over a word's start are not compiled")
+        self._read_spaces(self.trie)
         # a line break is a unit of its own if no longer piece holds one
         end = "" if any("\n" in t and len(t) > 1 for t in self.score) else "\n"
-        self.units = re.compile(f"{SPACE}*[^{SPACE}{end}]+|{SPACE}+" + ("|\n" if end else ""))
+        self.units = re.compile(f"[ {SPACE}]*[^ {SPACE}{end}]+|[ {SPACE}]+" + ("|\n" if end else ""))
         self.penalty = 10.0 - min(self.score.values(), default=0.0)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words = _Words(self._path)
@@ -115,21 +119,28 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _name(self, token: int) -> str:
-        return self.text[token] if token >= 0 else chr(-token - 2)
+    def _read_spaces(self, node: dict) -> None:
+        """Compose the normaliser with the pieces: what reads the space mark reads a space."""
+        work = [node]
+        while work:
+            node = work.pop()
+            work += [x for c, x in node.items() if c]
+            if SPACE in node:
+                node[" "] = node[SPACE]
 
     def follows(self, last: int, token: int) -> bool:
+        """The bigram machine's arcs. A token under -1 is a character that is no piece."""
         key = (last, token)
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            want = [self._name(token)] if last == -1 else [self._name(last), self._name(token)]
-            got = self.pairs[key] = self.merged("".join(want)) == want
+            names = [self.text[t] if t >= 0 else chr(-t - 2) for t in ((token,) if last == -1 else key)]
+            got = self.pairs[key] = self.merged("".join(names)) == names
         return got
 
-    def _arcs(self, unit: str, i: int) -> list[tuple[int, int, float]]:
-        """(end, token, weight) of the pieces that start at i, shorter first; a character that is no piece stands for itself, as a token under -1."""
+    def arcs(self, unit: str, i: int) -> list[tuple[int, int, float]]:
+        """(end, token, weight) of the arcs that start at i, shorter first: pieces, and the byte machine's for a character that is none."""
         node, out, n = self.trie, [], len(unit)
         j = i
         while j < n and (node := node.get(unit[j])) is not None:
@@ -140,47 +151,37 @@ class Transducer:
             out.insert(0, (i + 1, -ord(unit[i]) - 2, self.penalty))
         return out
 
-    def _least(self, unit: str) -> list[int]:
-        """The least path: best[i] is (cost, start, token) of the one to position i."""
-        n = len(unit)
-        best: list = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * n
+    def least(self, unit: str) -> tuple[list[int], float]:
+        """The least path through the composition and its weight: best[i] is (weight, start, token) of the one to position i."""
+        n, pairs, bpe = len(unit), self.pairs, self.bpe
+        best: list = [None] * (n + 1)
+        best[0] = (0.0, 0, -1)
         for i in range(n):
-            for j, token, weight in self._arcs(unit, i):
-                if best[i][0] + weight < best[j][0]:
-                    best[j] = (best[i][0] + weight, i, token)
+            at = best[i]
+            if at is None:  # no accepted path ends here
+                continue
+            so_far, _, last = at
+            for j, token, weight in self.arcs(unit, i):
+                old = best[j]
+                total = so_far + weight
+                if old is not None and old[0] <= total:
+                    continue
+                if bpe:
+                    ok = pairs.get((last, token))
+                    if ok is None:
+                        ok = self.follows(last, token)
+                    if not ok:
+                        continue
+                best[j] = (total, i, token)
         tokens, i = [], n
         while i:
             tokens.append(best[i][2])
             i = best[i][1]
-        return tokens[::-1]
-
-    def _only(self, unit: str) -> list[int]:
-        """The one path that the machine of the last piece admits, and so the least, found longest arcs first. A position has one admitted path to it: once left for good it is never entered again."""
-        n, pairs, seen = len(unit), self.pairs, set()
-        tokens: list[int] = []
-        stack, last, arcs = [], -1, self._arcs(unit, 0)
-        while True:
-            while arcs:
-                j, token, _ = arcs.pop()
-                if j in seen:
-                    continue
-                ok = pairs.get((last, token))
-                if ok is None:
-                    ok = self.follows(last, token)
-                if ok:
-                    tokens.append(token)
-                    if j == n:
-                        return tokens
-                    seen.add(j)
-                    stack.append((last, arcs))
-                    last, arcs = token, self._arcs(unit, j)
-                    break
-            else:
-                last, arcs = stack.pop()
-                tokens.pop()
+        return tokens[::-1], best[n][0]
 
     def _path(self, unit: str) -> list[int]:
-        tokens = self._only(unit) if self.bpe else self._least(unit)
+        """What the least path writes; a character that is no piece writes its bytes' pieces, or, without byte fallback, one unknown piece for a run."""
+        tokens, _ = self.least(unit)
         if min(tokens) >= 0:
             return tokens
         out: list[int] = []
@@ -196,10 +197,11 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        normal = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.units.findall(normal))), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.units.findall(" " + text if self.prefix else text))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
+        if len(ids) and ids.min() < 0:
+            raise IndexError("ids are not negative")
         out = self.out
         text = b"".join([out[i] for i in ids.tolist()]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text

@@ -1,18 +1,26 @@
 """Near-duplicate texts by SimHash fingerprints and vantage-point trees: all pairs within RADIUS bits, as components.
 
-Why the trees stand inside shards. Random 64-bit fingerprints lie 32 +- 4 bits from
-any vantage point, so at radius 4 a tree over all of them sends most fingerprints
-down both branches: ten levels copy the table about a hundredfold. So the bits
-are first cut into blocks. Two fingerprints at most RADIUS bits apart agree on all
-but RADIUS of the blocks (pigeonhole), that is, they lie at distance zero from one
-another in one of the projections to the other blocks. A shard is such a projected
-ball of radius zero; a fingerprint has one in each projection. No pair is lost.
-Within a shard a vantage-point tree finds the exact pairs: points split by their
-distance to a vantage point, and a pair across the split is looked for only among
-points within RADIUS of the border (triangle inequality).
-
-A shard that outgrows SHARD_ROWS is cut in turn by distance to its vantage point into
-shells; two shells are searched together only if their distances differ by
+The bits are cut into blocks. Two fingerprints at most RADIUS bits apart agree on all
+but RADIUS of the blocks (pigeonhole), so they lie at distance zero in one of the
+projections to the other blocks; no pair is lost. In each projection the fingerprints are
+partitioned by Hamming distance:
+
+* Each projection has a vantage point that all tasks share. Fingerprints that agree in
+  the projection are cut into shells of SHELL bits of distance to it; by the triangle
+  inequality two within RADIUS differ in that distance by RADIUS at most. So a shard is
+  one shell together with the rows of the next shell that lie within RADIUS of the
+  border: pairs across a border are found in the shard that overlaps it.
+* Within a shard a vantage-point tree finds the exact pairs: points split at the median
+  distance to a vantage point, down to LEAF points, and a pair across a split is looked
+  for only among points within RADIUS of the border; other branches are pruned.
+
+Why not trees alone: random 64-bit fingerprints lie 32 +- 4 bits from any vantage
+point, so at radius 4 a tree over all of them sends most fingerprints down both
+branches; ten levels copy the table about a hundredfold. The projections are what
+makes shards small, the shells halve them again for half of the rows copied.
+
+A shard that outgrows SHARD_ROWS is cut in turn by distance to a vantage point of its own,
+one bit a shell; two shells are searched together only if their distances differ by
 RADIUS at most, and shells too large for a task are cut into blocks searched pair
 by pair. So every task holds at most SHARD_ROWS fingerprints, whatever the data.
 
@@ -31,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop_written, table, written
 
 WORDS = 4
 RADIUS = 4
 SHARD_ROWS = 8192
 SHARD_MEAN = 1024  # more blocks are taken when shards would be larger than this on average
-LEAF = 128
+SHELL = 8  # bits of distance to the shared vantage point; more than RADIUS
+LEAF = 16
 _EDGES = "kind int, band int, key long, fp long, a long, b long"
 
 
@@ -76,8 +85,8 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     return np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
 
 
-def tree_pairs(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of distinct 64-bit points at most radius apart: a vantage-point tree joined with itself, each pair once."""
+def tree_pairs(points: np.ndarray, radius: int = RADIUS, nodes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of distinct 64-bit points at most radius apart: a vantage-point tree joined with itself, each pair once. nodes is given a row for each split: its depth, points, and points compared across the border."""
     left, right = [], []
 
     def cross(i: np.ndarray, j: np.ndarray) -> None:
@@ -86,9 +95,9 @@ def tree_pairs(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np
             left.append(i[k + p])
             right.append(j[q])
 
-    work = [np.arange(len(points))]
+    work = [(np.arange(len(points)), 0)]
     while work:
-        i = work.pop()
+        i, depth = work.pop()
         if len(i) <= LEAF:
             p, q = _near(points[i], points[i], radius)
             left.append(i[p[p < q]])
@@ -103,10 +112,13 @@ def tree_pairs(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np
         if not inner.any():  # all equally far from the vantage point: no bound prunes here, so halves are compared
             half = len(i) // 2
             cross(i[:half], i[half:])
-            work += [i[:half], i[half:]]
+            work += [(i[:half], depth + 1), (i[half:], depth + 1)]
             continue
-        cross(i[inner & (d > mid - radius)], i[~inner & (d <= mid + radius)])
-        work += [i[inner], i[~inner]]
+        near, far = i[inner & (d > mid - radius)], i[~inner & (d <= mid + radius)]
+        if nodes is not None:
+            nodes.append((depth, len(i), len(near) + len(far)))
+        cross(near, far)
+        work += [(i[inner], depth + 1), (i[~inner], depth + 1)]
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -199,11 +211,29 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("band", "key").sortWithinPartitions("band", "key")
 
 
+def vantage_points(masks: list[int], seed: int = 17) -> list[int]:
+    """One for each projection, the same for every task: random in the bits that the projection leaves out, zero elsewhere."""
+    rng = np.random.default_rng(seed)
+    return [int(rng.integers(0, 1 << 64, dtype=np.uint64)) & ~m & ((1 << 64) - 1) for m in masks]
+
+
+def shards(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """band, key, fp, rep: a row for each projection and shell, and one more where the fingerprint lies within radius of the lower border of its shell."""
+    masks = projections(points.count(), radius)
+    width = max(SHELL, radius + 1)
+    plan = F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.lit(_signed(v)).alias("vantage")) for m, v in zip(masks, vantage_points(masks))))
+    each = points.select("fp", "rep", F.posexplode(plan).alias("band", "p"))
+    distance = F.bit_count(F.col("fp").bitwiseAND(F.bitwise_not("p.mask")).bitwiseXOR(F.col("p.vantage")))
+    each = each.select("band", F.col("fp").bitwiseAND(F.col("p.mask")).alias("kept"), "fp", "rep", distance.alias("d"))
+    shell = F.floor(F.col("d") / width).cast("int")
+    own_and_below = F.when((F.col("d") % width < radius) & (F.col("d") >= width), F.array(shell, shell - 1)).otherwise(F.array(shell))
+    # a key names a projected ball and a shell; should two meet in one long, they only share a shard
+    return each.select("band", "kept", "fp", "rep", F.explode(own_and_below).alias("shell")).select("band", F.xxhash64("kept", "shell").alias("key"), "fp", "rep")
+
+
 def links(points: DataFrame, radius: int = RADIUS, limit: int = SHARD_ROWS) -> DataFrame:
     """Star edges a > b between the reps of linked points (fp distinct long, rep long), enough to join all that are linked."""
-    masks = F.array(*(F.lit(_signed(m)) for m in projections(points.count(), radius)))
-    shards = points.select("fp", "rep", F.posexplode(masks).alias("band", "mask")).select("band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
-    found = written(_in_order(shards).mapInArrow(_search(radius, limit), _EDGES), "simhash-search")
+    found = written(_in_order(shards(points, radius)).mapInArrow(_search(radius, limit), _EDGES), "simhash-search")
     edges = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select("band", "key", "fp", F.col("a").alias("rep"))
     if large.isEmpty():
@@ -237,7 +267,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = now.join(least, now.b == least.u).select("a", F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         moved = large.join(small, large.a == small.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = written(moved.unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "components")
+        new = written(moved.unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "components")
+        drop_written(now)
+        now = new
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -245,11 +277,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, limit: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, fp, component_id of every row. Texts with no words share fingerprint zero; a row without doc_id gets its fingerprint's component; repeated rows stay repeated."""
+    """doc_id, fp, component_id of every row. Texts with no words share fingerprint zero; repeated rows stay repeated.
+
+    Fingerprints are linked whether or not a row that holds them has a doc_id, so a row without one joins others; component_id
+    is the smallest doc_id reachable, null only where no row of the component has any.
+    """
     prints = written(fingerprints(docs, words), "simhash-prints")
-    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-points")
-    joined = components(links(points.where("rep is not null"), radius, limit))
-    named = points.join(joined, points.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
+    joined = components(links(points.select("fp", F.col("fp").alias("rep")), radius, limit))
+    placed = points.join(joined, points.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.select("fp", "component").join(names, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -51,6 +51,30 @@ def test_unigram_path_is_the_least(monkeypatch):
     assert machine.encode("xyz").tolist() == [1, 0]  # neighbouring unknowns are one
 
 
+def test_path_taken_is_the_least_of_all_accepted(machine):
+    def accepted(unit, i=0, last=-1):
+        if i == len(unit):
+            yield [], 0.0
+            return
+        for j, token, weight in machine.arcs(unit, i):
+            if machine.follows(last, token):
+                for rest, more in accepted(unit, j, token):
+                    yield [token, *rest], weight + more
+
+    rng = random.Random(6)
+    for _ in range(300):
+        unit = " " + "".join(rng.choice("aeinrsthol漢é") for _ in range(rng.randint(1, 12)))
+        found = sorted(accepted(unit), key=lambda x: x[1])
+        path, weight = machine.least(unit)
+        assert (path, weight) == (found[0][0], pytest.approx(found[0][1])) and len(found) == 1
+
+
+def test_ids_outside_the_vocabulary_are_an_error(machine):
+    for bad in (-1, len(machine.text)):
+        with pytest.raises(IndexError):
+            machine.decode(np.array([5, bad]))
+
+
 def test_full_caches_change_nothing(machine, monkeypatch):
     monkeypatch.setattr(s, "CACHED_WORDS", 3)
     monkeypatch.setattr(s, "CACHED_PAIRS", 3)

@@ -78,3 +78,37 @@ def test_chain_is_one_component(spark):
     random.shuffle(pairs)
     got = simhash.components(spark.createDataFrame(pairs, "a long, b long"))
     assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in range(1, 201)}
+
+
+def test_tree_has_depth_and_prunes():
+    rng = np.random.default_rng(3)
+    balls = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    points = np.unique(np.concatenate([balls ^ (np.uint64(1) << np.uint64(b)) for b in range(12)]))
+    nodes = []
+    i, j = simhash.tree_pairs(points, 4, nodes)
+    assert max(d for d, _, _ in nodes) >= 4 and sum(n for _, n, _ in nodes) > sum(c for _, _, c in nodes)
+    p, q = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)
+    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == {(a, b) for a, b in zip(p.tolist(), q.tolist()) if a < b}
+
+
+def test_shards_overlap_at_their_borders(spark):
+    points = clustered(2000, seed=9)
+    df = spark.createDataFrame([(int(p), int(p)) for p in points.view(np.int64)], "fp long, rep long")
+    rows = simhash.shards(df).toPandas()
+    together = set()
+    for _, g in rows.groupby(["band", "key"]):
+        fp = np.sort(g["fp"].to_numpy()).view(np.uint64)
+        p, q = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+        together |= {(int(fp[a]), int(fp[b])) for a, b in zip(p, q) if fp[a] < fp[b]}
+    p, q = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)
+    assert together == {(int(points[a]), int(points[b])) for a, b in zip(p, q) if points[a] < points[b]}
+    assert 5 * len(points) < len(rows) < 9 * len(points)
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": (1 << 62) - 1, "e": ((1 << 62) - 1) ^ 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs.select("doc_id", simhash.F.create_map(*[x for k, v in prints.items() for x in (simhash.F.lit(k), simhash.F.lit(v).cast("long"))])[docs.text].alias("fp")))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d"), (None, "e")], "doc_id long, text string")
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got[(1, 0)] == got[(None, 0b1111)] == got[(2, 0b11111111)] == 1
+    assert got[(None, prints["d"])] is None and got[(None, prints["e"])] is None
