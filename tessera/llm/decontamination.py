@@ -1,30 +1,32 @@
 """Benchmark decontamination: BM25 over test items, block-max WAND, then overlap of question and answer.
 
 The test items are the indexed documents, a training passage is the query: the
-set of its words. Passages are windows of the text's words, twice as long as the
-longest item and overlapping by half, so every run of an item's length lies within
-one. A passage's score for an item is its BM25 sum as a share of the item's own
+set of its words. Passages are windows of the text's words, overlapping by half; each
+item is looked for in windows of the least power of two that is twice its own length or more (64
+at least), so every run of its length lies within one, and no other item changes what is found.
+A passage's score for an item is its BM25 sum as a share of the item's own
 (what a passage with all of its words would get); all items with THRESHOLD or more are
-retrieved, exactly.
+retrieved, exactly. Document frequencies and the mean length are those of all items.
 
-Postings are cut into blocks of BLOCK items that carry the largest share of each
-word. As in WAND, an item can only be a result if it holds one of the words whose
-bounds the remaining words can't replace (the pivot); of the blocks with such a
-word, those are opened whose block maxima add up to the threshold. A run of windows is
-searched as one larger query first: its words hold those of every window in it,
-so if no item reaches the threshold none of its windows can.
+Postings carry the largest share of each word and, for blocks of BLOCK items, of each word in
+the block. A window is searched by block-max WAND: cursors stand in its words' lists, sorted by
+item; the pivot is the first item at which the lists' bounds add up to the threshold; where the block maxima
+cannot reach it, all cursors skip to the next block that can, else those before the pivot move up to it, and it is
+scored once they meet there. A run of windows is asked as one larger query first: its words hold those of
+every window in it, so if no item reaches the threshold none of its windows can.
 
 A hit counts if the passage has OVERLAP or more of the five-word shingles of the item's
 question (all but its last sentence) and answer (the last one) together, and OVERLAP
 or more of the words of each. A part of fewer than five words is one shorter shingle.
 
-The index holds at most INDEX_ITEMS items and is broadcast; more items make more
-indexes, each with its own pass.
+An index holds INDEX_ITEMS items and INDEX_CHARS characters on average at most and is broadcast; more items make more
+indexes over the same statistics, each with its own pass.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -34,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_written, table, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 16
-INDEX_ITEMS = 20_000
+INDEX_ITEMS, INDEX_CHARS = 20_000, 20_000_000
 LEAST_WINDOW = 64
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -78,74 +80,141 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
-class Index:
-    """Postings by word (item, share of the item's own score), sorted by item, with block maxima."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in items if words_of(t)]
-        self.ids = [i for i, _ in items]
-        counts = [Counter(words_of(t)) for _, t in items]
-        self.parts = [tuple(map(Part, question_and_answer(t))) for _, t in items]
-        sizes = np.array([sum(c.values()) for c in counts], dtype=float)
-        df = Counter(w for c in counts for w in c)
-        self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
-        self.window = max(LEAST_WINDOW, 2 * int(sizes.max(initial=0)))
-        self.stride = self.window // 2
-        mean, n = (sizes.mean() if len(sizes) else 1.0), len(items)
-        found: list[tuple[int, int, float]] = []
-        for item, c in enumerate(counts):
-            norm = K1 * (1 - B + B * sizes[item] / mean)
-            each = [(self.vocabulary[w], np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)) for w, tf in c.items()]
-            own = sum(x for _, x in each)
-            found += [(w, item, x / own) for w, x in each]
-        found.sort()
+class Postings:
+    """Postings by word (item, share of the item's own score), sorted by item, with the maxima of words and of their blocks."""
+
+    def __init__(self, found: list[tuple[int, int, float]], words: int, items: int):
+        found = sorted(found)
         word, self.item, self.share = (np.array(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        self.start = np.searchsorted(word, np.arange(len(df) + 1))
-        self.bound = np.maximum.reduceat(self.share, self.start[:-1]) if found else np.zeros(0)
-        key = word * (n // BLOCK + 1) + self.item // BLOCK
+        self.items = items
+        self.start = np.searchsorted(word, np.arange(words + 1))
+        self.bound = np.zeros(words)
+        np.maximum.at(self.bound, word, self.share)
+        key = word * (items // BLOCK + 1) + self.item // BLOCK
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if found else np.zeros(0, int)
         self.block, self.block_max = self.item[first] // BLOCK, np.maximum.reduceat(self.share, first) if found else np.zeros(0)
-        self.block_start = np.searchsorted(word[first], np.arange(len(df) + 1))
-        self.blocks = n // BLOCK + 1
-
-    def search(self, words: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-        """Items whose share for these distinct words is the threshold or more, and the shares."""
-        none = np.zeros(0, int), np.zeros(0)
-        bound = self.bound[words]
-        if bound.sum() < threshold - 1e-9:
+        self.block_start = np.searchsorted(word[first], np.arange(words + 1))
+        self.blocks = items // BLOCK + 1
+        self.item_list, self.share_list = self.item.tolist(), self.share.tolist()
+
+    def _open(self, words: np.ndarray, threshold: float) -> np.ndarray:
+        """Which blocks' maxima of these words add up to the threshold."""
+        at, _ = _ranges(self.block_start, words)
+        return np.bincount(self.block[at], weights=self.block_max[at], minlength=self.blocks) >= threshold - 1e-9
+
+    def reached(self, words: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+        """Items that reach the threshold for these distinct words, all at once: what prunes a run of windows."""
+        none = np.zeros(0, int)
+        if self.bound[words].sum() < threshold - 1e-9:
             return none
-        order = np.argsort(-bound)
-        words, bound = words[order], bound[order]
-        rest = np.cumsum(bound[::-1])[::-1]  # what this word and all with smaller bounds add at most
-        pivot = int(np.count_nonzero(rest >= threshold - 1e-9))
-        at, owner = _ranges(self.block_start, words)
-        total = np.bincount(self.block[at], weights=self.block_max[at], minlength=self.blocks)
-        with_pivot = np.zeros(self.blocks, bool)
-        with_pivot[self.block[at[owner < pivot]]] = True
-        opened = with_pivot & (total >= threshold - 1e-9)
+        opened = self._open(words, threshold)
         if not opened.any():
             return none
         at, _ = _ranges(self.start, words)
         at = at[opened[self.item[at] // BLOCK]]
-        share = np.bincount(self.item[at], weights=self.share[at], minlength=len(self.ids))
-        hits = np.flatnonzero(share >= threshold - 1e-9)
-        return hits, share[hits]
-
-    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first word, end, items, shares) of every passage with hits; ids are a text's words, -1 those in no item."""
-        last = max(0, -(-(len(ids) - self.window) // self.stride)) + 1
-        work = [(0, last)]
-        while work:
-            a, b = work.pop()
-            s, e = a * self.stride, min(len(ids), (b - 1) * self.stride + self.window)
-            words = np.unique(ids[s:e])
-            hits, share = self.search(words[words >= 0])
-            if not len(hits):
-                continue
-            if b - a == 1:
-                yield s, e, hits, share
+        return np.flatnonzero(np.bincount(self.item[at], weights=self.share[at], minlength=self.items) >= threshold - 1e-9)
+
+    def search(self, words: np.ndarray, threshold: float = THRESHOLD, trace: list | None = None) -> list[tuple[int, float]]:
+        """(item, share) of the items that reach the threshold for these distinct words, by block-max WAND. trace is given each item scored."""
+        least = threshold - 1e-9
+        opened = np.flatnonzero(self._open(words, threshold)).tolist()
+        item, share = self.item_list, self.share_list
+        at, end, bound = [], [], []
+        for s, e, b in zip(self.start[words].tolist(), self.start[words + 1].tolist(), self.bound[words].tolist()):
+            if s < e:
+                at.append(s)
+                end.append(e)
+                bound.append(b)
+        here = [item[s] for s in at]  # where the cursors stand
+        live, out = list(range(len(at))), []
+
+        def move(lists: list[int], target: int) -> None:
+            nonlocal live
+            over = False
+            for x in lists:
+                p = at[x] = bisect_left(item, target, at[x], end[x])
+                if p < end[x]:
+                    here[x] = item[p]
+                else:
+                    here[x], over = self.items, True
+            if over:
+                live = [x for x in live if here[x] < self.items]
+
+        while live and opened:
+            live.sort(key=here.__getitem__)
+            total, pivot = 0.0, None
+            for x in live:
+                total += bound[x]
+                if total >= least:
+                    pivot = here[x]
+                    break
+            if pivot is None:
+                break
+            block = pivot // BLOCK
+            k = bisect_left(opened, block)
+            if k == len(opened):
+                break
+            if opened[k] > block:
+                pivot = opened[k] * BLOCK
+                move([x for x in live if here[x] < pivot], pivot)
+            elif here[live[0]] == pivot:
+                met = [x for x in live if here[x] == pivot]
+                score = sum(share[at[x]] for x in met)
+                if trace is not None:
+                    trace.append(pivot)
+                if score >= least:
+                    out.append((pivot, score))
+                move(met, pivot + 1)
             else:
-                work += [(a, (a + b) // 2), ((a + b) // 2, b)]
+                move([x for x in live if here[x] < pivot], pivot)
+        return out
+
+
+class Index:
+    """The items' parts and postings: of all items, and of those that share a window's length. count, mean and df describe all items there are (by default, these)."""
+
+    def __init__(self, items: list[tuple[int, str]], count: int | None = None, mean: float | None = None, df: dict[str, int] | None = None):
+        split = [(i, t, words_of(t)) for i, t in items]
+        split = [x for x in split if x[2]]
+        self.ids = [i for i, _, _ in split]
+        self.parts = [tuple(map(Part, question_and_answer(t))) for _, t, _ in split]
+        counts, sizes = [Counter(w) for _, _, w in split], [len(w) for _, _, w in split]
+        n = count or len(split)
+        mean = mean or sum(sizes) / max(1, len(sizes))
+        df = df if df is not None else Counter(w for c in counts for w in c)
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for c in counts for w in c}))}
+        self.windows = [max(LEAST_WINDOW, 1 << (2 * size - 1).bit_length()) for size in sizes]
+        found: list[tuple[int, int, float]] = []
+        for item, (c, size) in enumerate(zip(counts, sizes)):
+            norm = K1 * (1 - B + B * size / mean)
+            each = [(self.vocabulary[w], np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)) for w, tf in sorted(c.items())]
+            own = sum(x for _, x in each)
+            found += [(w, item, x / own) for w, x in each]
+        self.all = Postings(found, len(self.vocabulary), len(split))
+        self.groups = {}
+        for window in sorted(set(self.windows)):
+            members = [i for i, w in enumerate(self.windows) if w == window]
+            place = {i: k for k, i in enumerate(members)}
+            self.groups[window] = (members, Postings([(w, place[i], x) for w, i, x in found if i in place], len(self.vocabulary), len(members)))
+
+    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, float]]]]:
+        """(first word, end, [(item, share)]) of every passage with hits; ids are a text's words, -1 those in no item."""
+        words = np.unique(ids)
+        for window in sorted({self.windows[i] for i in self.all.reached(words[words >= 0]).tolist()}):
+            members, postings = self.groups[window]
+            stride = window // 2
+            work = [(0, max(0, -(-(len(ids) - window) // stride)) + 1)]
+            while work:
+                a, b = work.pop()
+                s, e = a * stride, min(len(ids), (b - 1) * stride + window)
+                words = np.unique(ids[s:e])
+                words = words[words >= 0]
+                if b - a == 1:
+                    hits = postings.search(words)
+                    if hits:
+                        yield s, e, [(members[i], x) for i, x in hits]
+                elif len(postings.reached(words)):
+                    work += [(a, (a + b) // 2), ((a + b) // 2, b)]
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, float, float, float, float]]:
         """(item id, passages, first word of the first one, best score, best overlaps: of shingles, of question and of answer words) of each item found in a text."""
@@ -153,9 +222,9 @@ class Index:
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         found: dict[int, list] = {}
-        for s, e, hits, share in self.passages(ids):
-            have = {n: runs(words[s:e], n) for n in {p.length for i in hits.tolist() for p in self.parts[i]} | {1}}
-            for item, score in zip(hits.tolist(), share.tolist()):
+        for s, e, hits in self.passages(ids):
+            have = {n: runs(words[s:e], n) for n in {p.length for i, _ in hits for p in self.parts[i]} | {1}}
+            for item, score in hits:
                 parts = self.parts[item]
                 both = sum(len(p.shingles & have[p.length]) for p in parts) / sum(len(p.shingles) for p in parts)
                 q, a = (sum((w,) in have[1] for w in p.words) / len(p.words) for p in parts)
@@ -172,13 +241,43 @@ def _ranges(start: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[owner], owner
 
 
-def indexes(items: DataFrame, limit: int = INDEX_ITEMS) -> Iterator[Index]:
-    """One index, or as many as hold at most limit items each (on average, by a hash of the id). Items without words are left out."""
+def _words_of_items(items: DataFrame) -> DataFrame:
+    """part, item (a number), size, word: a row for each distinct word of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, text in zip(b.column("part").to_pylist(), b.column("text").to_pylist()):
+                words = words_of(text)
+                if words:
+                    own = sorted(set(words))
+                    yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array([len(words)] + [0] * (len(own) - 1), pa.int64()), pa.array(own, pa.string())], ["part", "size", "word"])
+
+    return items.select("part", "text").mapInArrow(run, "part int, size long, word string")
+
+
+def indexes(items: DataFrame, limit: int = INDEX_ITEMS, chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """One index, or as many as hold at most so many items and characters each (on average, by a hash of the item). Items without words are left out.
+
+    All indexes score by the statistics of all items, which Spark counts; only the words of an index's own items reach the driver.
+    """
     items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    parts = max(1, -(-items.count() // limit))
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-rows // limit), -(-size // chars))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+
+    def collected(part: int) -> list[tuple[int, str]]:
+        return sorted((r.item_id if r.item_id is not None else -1, r.text) for r in items.where(F.col("part") == part).collect())
+
+    if parts == 1:
+        yield Index(collected(0))
+        return
+    words = written(_words_of_items(items), "item-words")
+    count, total = words.where("size > 0").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    counts = written(words.groupBy("word").agg(F.count("*").alias("df")), "item-counts")
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        yield Index(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows.collect()))
+        own = words.where(F.col("part") == part).select("word").distinct()
+        yield Index(collected(part), count, total / max(1, count), {r.word: r.df for r in counts.join(own, "word").toLocalIterator()})
+    drop_written(words, counts)
 
 
 def leaks(docs: DataFrame, items: DataFrame, limit: int = INDEX_ITEMS) -> DataFrame:

@@ -14,7 +14,6 @@ def text(n):
 
 
 
-
 def holds(body, item):
     """The plain definition: 0.8 of both parts' runs of five words (or of the whole part, if shorter) and of each part's words stand in the text."""
     words = d.words_of(body)
@@ -34,27 +33,54 @@ ITEMS = [(i, f"{text(RNG.randint(8, 30))}? {text(RNG.randint(6, 20))}.") for i i
 @pytest.mark.parametrize("threshold", [0.1, 0.3, 0.5, 0.8])
 def test_search_finds_exactly_the_items_over_the_threshold(threshold):
     index = d.Index(ITEMS)
+    p = index.all
     for n in (0, 3, 50, 300):
         words = np.array(sorted(RNG.sample(range(len(index.vocabulary)), min(n, len(index.vocabulary)))), dtype=int)
         share = np.zeros(len(ITEMS))
         for w in words:
-            share[index.item[index.start[w] : index.start[w + 1]]] += index.share[index.start[w] : index.start[w + 1]]
-        hits, got = index.search(words, threshold)
-        assert hits.tolist() == np.flatnonzero(share >= threshold - 1e-9).tolist() and np.allclose(got, share[hits])
+            share[p.item[p.start[w] : p.start[w + 1]]] += p.share[p.start[w] : p.start[w + 1]]
+        want = np.flatnonzero(share >= threshold - 1e-9).tolist()
+        got = p.search(words, threshold)
+        assert [i for i, _ in got] == want == p.reached(words, threshold).tolist()
+        assert np.allclose([x for _, x in got], share[want])
+
+
+def test_pivot_and_blocks_skip_items():
+    index = d.Index(ITEMS)
+    words, scored = np.array(sorted(index.vocabulary[w] for w in set(d.words_of(ITEMS[20][1])))), []
+    assert [i for i, _ in index.all.search(words, 0.5, scored)] == [20]
+    holding = {i for w in words for i in index.all.item[index.all.start[w] : index.all.start[w + 1]].tolist()}
+    assert 20 in scored and len(scored) < len(holding) / 2
 
 
 def test_every_passage_over_the_threshold_is_reached():
     index = d.Index(ITEMS)
     words = d.words_of(text(500) + " " + ITEMS[3][1] + " " + text(400) + " " + ITEMS[9][1] + " " + text(90))
     ids = np.array([index.vocabulary.get(w, -1) for w in words])
-    got = {(s, i) for s, _, hits, _ in index.passages(ids) for i in hits.tolist()}
+    got = {(s, e, i) for s, e, hits in index.passages(ids) for i, _ in hits}
     want = set()
-    for s in range(0, max(1, len(ids)), index.stride):
-        part = np.unique(ids[s : s + index.window])
-        want |= {(s, i) for i in index.search(part[part >= 0])[0].tolist()}
-        if s + index.window >= len(ids):
-            break
-    assert got == want and {3, 9} <= {i for _, i in got}
+    for window, (members, postings) in index.groups.items():
+        for s in range(0, max(1, len(ids)), window // 2):
+            part = np.unique(ids[s : s + window])
+            want |= {(s, min(len(ids), s + window), members[i]) for i, _ in postings.search(part[part >= 0])}
+            if s + window >= len(ids):
+                break
+    assert got == want and {3, 9} <= {i for *_, i in got}
+
+
+def test_rows_and_scores_do_not_depend_on_the_number_of_indexes(spark, make_docs):
+    rows = [(i, f"{text(RNG.randint(0, 200))} {t} {text(RNG.randint(0, 200))}") for i, t in ITEMS[:25]]
+    docs, items = make_docs(rows), spark.createDataFrame(ITEMS, "item_id long, text string")
+    first, *others = (sorted((r.doc_id, r.item_id, r.passages, r.first_word, round(r.score, 9), r.overlap) for r in d.leaks(docs, items, limit=n).collect()) for n in (1000, 60, 7))
+    assert len(first) >= 25 and all(x == first for x in others)
+
+
+def test_a_long_item_changes_nothing_for_others():
+    short = [(1, "is it raining. yes."), (2, f"{text(12)}? {text(9)}.")]
+    body = "yes " + text(160) + " is it raining"
+    for items in (short, [*short, (3, text(500))]):
+        assert [x[0] for x in d.Index(items).leaks(body)] == []
+        assert [x[0] for x in d.Index(items).leaks("well " + short[1][1])] == [2]
 
 
 def test_leaks_match_brute_force(spark, make_docs):
