@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, reranked by exact cosine.
 
-Unit vectors are hashed in TABLES tables, each by HASHES Gaussian projections cut
-into cells of one width (for unit vectors the Euclidean order is the cosine order). A
+Unit vectors are hashed in TABLES tables by Gaussian projections cut
+into cells of one width (for unit vectors the Euclidean order is the cosine order); the number of
+projections grows with the logarithm of the rows, so buckets stay small. A
 query visits its own bucket and those reached by moving single projections one
 cell, in the order of their estimated success: the least sum of squared distances
-to the cells' borders first. Width and number of probes are fitted on a bounded
-sample until its recall is TARGET; every vector is indexed.
+to the cells' borders first, up to a sum that is the same for all queries. That and the width are fitted on SAMPLE_QUERIES
+vectors and their true neighbours in the whole table (one pass without a shuffle), so that TARGET of these are reached; every vector is indexed.
 
 Equal vectors are one class with its smallest K + 1 ids, all that can ever be
 among K nearest, so a vector repeated a million times is one row of a bucket.
-Buckets over BLOCK classes are cut into blocks, each searched by itself; a
-block's task holds BLOCK vectors and streams the queries past them. A query
-that finds fewer than K + 1 rows is run against all blocks.
+Buckets are dealt in groups of about BLOCK classes (a larger bucket is cut into several pieces); a query goes
+to a group once, with the names of the buckets it visits there, and is compared with
+the vectors of these only. A query that finds fewer than K + 1 rows is run against all vectors of its length.
 """
 
 from __future__ import annotations
@@ -27,34 +28,34 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 5
-TABLES, HASHES = 8, 6
-SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 200, 0.96
-LADDER = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384)
+TABLES = 4
+HASHES_PER_BIT = 0.5  # projections of a table for each binary digit of the number of rows
+SAMPLE_QUERIES, TARGET = 300, 0.94  # vectors whose neighbours among all are sought to fit by
+PROBES = 20_000  # of a query in a table at most, a bound on what it sends; the fit stays far below it
 BLOCK = 2048
 MERGE = 100_000
-_ROWS = "part int, bucket long, block int, query boolean, cid long, v array<float>"
 
 
-def probes(place: np.ndarray, count: int) -> np.ndarray:
-    """The first count perturbations (rows of -1, 0, 1), the query's own cell first; place is its position within its cell, 0 to 1."""
+def probes(place: np.ndarray, most: float, count: int = PROBES) -> np.ndarray:
+    """Perturbations (rows of -1, 0, 1) in the order of their estimated success, the query's own cell first: those whose squared distances to borders add up to most or less. place is the position within the cell, 0 to 1."""
     k = len(place)
     gap = np.concatenate([place, 1 - place]) ** 2
     order = np.argsort(gap, kind="stable")
     z, dim, step = gap[order].tolist(), (order % k).tolist(), np.where(order < k, -1, 1).tolist()
-    out, heap = [np.zeros(k, np.int64)], [(z[0], (0,))]
-    while len(out) < count and heap:
+    moves, heap = [()], [(z[0], (0,))]
+    while len(moves) < count and heap and heap[0][0] <= most:
         score, chosen = heapq.heappop(heap)
-        dims = [dim[i] for i in chosen]
-        if len(set(dims)) == len(dims):
-            move = np.zeros(k, np.int64)
-            for i in chosen:
-                move[dim[i]] = step[i]
-            out.append(move)
+        if len({dim[i] for i in chosen}) == len(chosen):
+            moves.append(chosen)
         last = chosen[-1]
         if last + 1 < 2 * k:
             heapq.heappush(heap, (score - z[last] + z[last + 1], (*chosen[:-1], last + 1)))
             heapq.heappush(heap, (score + z[last + 1], (*chosen, last + 1)))
-    return np.array(out)
+    out = np.zeros((len(moves), k), np.int64)
+    for row, chosen in enumerate(moves):
+        for i in chosen:
+            out[row, dim[i]] = step[i]
+    return out
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -62,12 +63,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    def __init__(self, dims: int, width: float, tables: int = TABLES, hashes: int = HASHES, seed: int = 5):
+    def __init__(self, dims: int, width: float, hashes: int, tables: int = TABLES, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.axes = rng.normal(size=(tables, dims, hashes)) / width
         self.shift = rng.random((tables, hashes))
         self.mix = rng.integers(1, 1 << 62, hashes, dtype=np.int64) | 1
-        self.count = LADDER[-1]
+        self.most = 1.0
 
     def places(self, unit: np.ndarray, part: int) -> np.ndarray:
         return unit @ self.axes[part] + self.shift[part]
@@ -79,45 +80,69 @@ class Hasher:
 
     def visits(self, place: np.ndarray) -> np.ndarray:
         cell = np.floor(place)
-        return self.bucket(cell.astype(np.int64) + probes(place - cell, self.count))
-
-
-def fitted(sample: np.ndarray) -> Hasher:
-    """Cell width from the sample's neighbour distances, and the fewest probes of LADDER that reach TARGET recall within it."""
-    unit = _unit(sample)
-    queries = np.arange(min(SAMPLE_QUERIES, len(unit)))
-    near = unit[queries] @ unit.T
-    near[queries, queries] = -2
-    k = min(K, len(unit) - 1)
-    if k < 1:
-        return Hasher(sample.shape[1], 1.0)
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    gap = float(np.median(np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, top, 1), 0))))
-    hasher = Hasher(sample.shape[1], 1.4 * max(gap, 1e-3))
-    found = np.full((len(queries), len(unit)), LADDER[-1])  # the probe that first reaches each vector
+        return self.bucket(cell.astype(np.int64) + probes(place - cell, self.most))
+
+
+def fitted(queries: np.ndarray, near: np.ndarray, rows: int) -> Hasher:
+    """Cell width from the neighbours' distances, and the least sum of squared distances up to which probes reach TARGET of them. near[i] is a neighbour of queries[i]."""
+    hashes = max(4, round(HASHES_PER_BIT * np.log2(max(2, rows))))
+    if not len(near):
+        return Hasher(queries.shape[1], 1.0, hashes)
+    x, y = _unit(queries), _unit(near)
+    gap = float(np.median(np.linalg.norm(x - y, axis=1)))
+    hasher = Hasher(x.shape[1], 1.4 * max(gap, 1e-3), hashes)
+    cost = np.full(len(x), np.inf)  # the least sum at which a table's probes reach each neighbour
     for part in range(TABLES):
-        places = hasher.places(unit, part)
-        buckets = hasher.bucket(np.floor(places))
-        names, owner = np.unique(buckets, return_inverse=True)
-        for q in queries:
-            visit = hasher.visits(places[q])
-            at = np.searchsorted(names, visit)
-            hit = np.flatnonzero((at < len(names)) & (names[np.minimum(at, len(names) - 1)] == visit))
-            rank = np.full(len(names), LADDER[-1])
-            np.minimum.at(rank, at[hit], hit)
-            found[q] = np.minimum(found[q], rank[owner])
-    reach = np.take_along_axis(found, top, 1)
-    hasher.count = next((n for n in LADDER if (reach < n).mean() >= TARGET), LADDER[-1])
+        place = hasher.places(x, part)
+        inside, move = place - np.floor(place), np.floor(hasher.places(y, part)) - np.floor(place)
+        steps = np.where(move < 0, inside, 1 - inside) ** 2 * (move != 0)
+        cost = np.minimum(cost, np.where((np.abs(move) <= 1).all(axis=1), steps.sum(axis=1), np.inf))
+    finite = cost[np.isfinite(cost)]
+    hasher.most = float(min(np.quantile(cost, TARGET, method="higher"), finite.max(initial=0))) + 1e-9
     return hasher
 
 
+def sampled(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """SAMPLE_QUERIES vectors, the first by a hash of their class, each as often as it has neighbours among the K nearest of all classes, and these neighbours."""
+    some = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE_QUERIES).select("cid", "v").toPandas()
+    own, queries = some["cid"].to_numpy(), np.array(some["v"].tolist(), dtype=np.float64)
+    shared = classes.sparkSession.sparkContext.broadcast((own, _unit(queries)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        best: tuple = (np.zeros(0, np.int64), np.zeros(0), [])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cid, matrix = b.column("cid").to_numpy(), _matrix(b.column("v"))
+            score = unit @ _unit(matrix).T
+            score[cid[None, :] == ids[:, None]] = -2
+            k = min(K, len(cid))
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            q = np.concatenate([best[0], np.repeat(np.arange(len(ids)), k)])
+            s = np.concatenate([best[1], np.take_along_axis(score, top, 1).ravel()])
+            v = [*best[2], *matrix[top.ravel()]]
+            order = np.lexsort((-s, q))
+            start = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+            order = order[rank < K]
+            best = (q[order], s[order], [v[i] for i in order])
+        if len(best[0]):
+            yield pa.record_batch([pa.array(best[0]), pa.array(best[1]), pa.array([x.tolist() for x in best[2]], pa.list_(pa.float64()))], ["q", "s", "v"])
+
+    found = classes.select("cid", "v").mapInArrow(run, "q long, s double, v array<double>").where("s > -2")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
+    near = found.withColumn("place", place).where(F.col("place") <= K).select("q", "v").toPandas()
+    return queries[near["q"].to_numpy()] if len(near) else queries, np.array(near["v"].tolist(), dtype=np.float64)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1)
 
 
 def _hashed(classes: DataFrame, hasher: Hasher, queries: bool) -> DataFrame:
-    """A row for each table (queries: for each probe too), blocks not yet dealt."""
+    """part, bucket, cid: a row for each table (queries: for each probe)."""
     shared = classes.sparkSession.sparkContext.broadcast(hasher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +158,9 @@ def _hashed(classes: DataFrame, hasher: Hasher, queries: bool) -> DataFrame:
                     owner, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
                 else:
                     owner, bucket = np.arange(len(places)), h.bucket(np.floor(places))
-                rows = b.take(pa.array(owner))
-                yield pa.record_batch([pa.array(np.full(len(owner), part, np.int32)), pa.array(bucket), rows.column("cid"), rows.column("v")], ["part", "bucket", "cid", "v"])
+                yield pa.record_batch([pa.array(np.full(len(owner), part, np.int32)), pa.array(bucket), b.column("cid").take(pa.array(owner))], ["part", "bucket", "cid"])
 
-    return classes.select("cid", "v").mapInArrow(run, "part int, bucket long, cid long, v array<float>")
+    return classes.select("cid", "v").mapInArrow(run, "part int, bucket long, cid long")
 
 
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,9 +176,38 @@ def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[rank < k], c[rank < k], s[rank < k]
 
 
+def _exact(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines, each worked out in one fixed order of its own, so equal directions give equal numbers wherever they are met."""
+    return (matrix * v).sum(axis=1) / (np.sqrt((matrix * matrix).sum(axis=1)) * np.sqrt((v * v).sum()))
+
+
+class _Group:
+    """The vectors of a group, by bucket."""
+
+    def __init__(self, ids: list[np.ndarray], buckets: list[np.ndarray], vectors: list[np.ndarray]):
+        bucket = np.concatenate(buckets)
+        order = np.argsort(bucket, kind="stable")
+        self.ids, self.matrix = np.concatenate(ids)[order], np.concatenate(vectors)[order]
+        self.unit = _unit(self.matrix)
+        self.names, self.start = np.unique(bucket[order], return_index=True)
+        self.end = np.append(self.start[1:], len(bucket))
+
+    def best(self, v: np.ndarray, visited: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the K + 1 nearest in the buckets visited (None: in all), and of all that may tie with the last."""
+        rows = np.arange(len(self.ids))
+        if visited is not None:
+            at = np.searchsorted(self.names, visited)
+            at = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == visited)]
+            rows = np.concatenate([rows[s:e] for s, e in zip(self.start[at].tolist(), self.end[at].tolist())]) if len(at) else rows[:0]
+        if len(rows) > K + 1:
+            score = self.unit[rows] @ (v / np.linalg.norm(v))
+            rows = rows[score >= np.partition(score, len(rows) - K - 1)[len(rows) - K - 1] - 1e-9]
+        return self.ids[rows], _exact(self.matrix[rows], v)
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by part, bucket, block and queries last: the block's vectors are held, queries stream past."""
-    current, ids, vectors, matrix, norms = None, [], [], None, None
+    """Over rows sorted by part, group and queries last: the group's vectors are held, queries stream past."""
+    current, ids, buckets, vectors, group = None, [], [], [], None
     held, size = [], 0
 
     def merged():
@@ -166,81 +219,89 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        part, bucket, block, query, cid = (b.column(n).to_numpy(zero_copy_only=False) for n in ("part", "bucket", "block", "query", "cid"))
-        v = _matrix(b.column("v"))
-        new = (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]) | (query[1:] != query[:-1])
+        part, grp, query, cid = (b.column(n).to_numpy(zero_copy_only=False) for n in ("part", "grp", "query", "cid"))
+        v, visits = b.column("v"), b.column("visits")
+        new = (part[1:] != part[:-1]) | (grp[1:] != grp[:-1]) | (query[1:] != query[:-1])
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(part)]
         for i, j in zip(cuts, cuts[1:]):
-            name = (part[i], bucket[i], block[i])
+            name = (part[i], grp[i])
             if name != current:
-                current, ids, vectors, matrix = name, [], [], None
+                current, ids, buckets, vectors, group = name, [], [], [], None
+            matrix = _matrix(v.slice(i, j - i))
             if not query[i]:
                 ids.append(cid[i:j])
-                vectors.append(v[i:j])
+                buckets.append(visits.slice(i, j - i).flatten().to_numpy())
+                vectors.append(matrix)
                 continue
             if not ids:
                 continue
-            if matrix is None:
-                matrix, own = np.concatenate(vectors), np.concatenate(ids)
-                norms = np.linalg.norm(matrix, axis=1)
-            for a in range(i, j, 512):
-                z = min(j, a + 512)
-                score = (v[a:z] @ matrix.T) / (np.linalg.norm(v[a:z], axis=1)[:, None] * norms)
-                k = min(K + 1, len(own))
-                top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(own) else np.broadcast_to(np.arange(k), score.shape)
-                held.append((np.repeat(cid[a:z], k), own[top].ravel(), np.take_along_axis(score, top, 1).ravel()))
-                size += len(held[-1][0])
-            if size > MERGE:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > MERGE // 2:  # many queries: what is merged goes out, so memory stays bounded
-                    yield batch(*held[0])
-                    held, size = [], 0
+            group = group or _Group(ids, buckets, vectors)
+            for k in range(i, j):
+                own = visits[k].values
+                found, score = group.best(matrix[k - i], None if own is None else own.to_numpy())
+                held.append((np.full(len(found), cid[k]), found, score))
+                size += len(found)
+                if size > MERGE:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > MERGE // 2:  # many queries: what is merged goes out, so memory stays bounded
+                        yield batch(*held[0])
+                        held, size = [], 0
     if held:
         yield batch(*merged())
 
 
 def _run(data: DataFrame, queries: DataFrame) -> DataFrame:
+    """part, grp, cid, visits, v of both: of data, visits names its bucket."""
     both = data.withColumn("query", F.lit(False)).unionByName(queries.withColumn("query", F.lit(True)))
-    order = ["part", "bucket", "block"]
-    return both.select("part", "bucket", "block", "query", "cid", "v").repartition(*order).sortWithinPartitions(*order, "query").mapInArrow(_search, "qid long, cid long, score double")
+    return both.select("part", "grp", "query", "cid", "visits", "v").repartition("part", "grp").sortWithinPartitions("part", "grp", "query").mapInArrow(_search, "qid long, cid long, score double")
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: rows with an id and a vector of the commonest length, with no null or non-finite component and not all zeros."""
+    """vec_id, v: rows with an id and a vector with no null or non-finite component and not all zeros; floats stay floats until they are compared, in double precision."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where("vec_id is not null and embedding is not null").where(good).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.where(F.size("v") == (length.n if length else 0))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    return vectors.where("vec_id is not null and embedding is not null").where(good).select(F.col("vec_id").cast("long"), v.alias("v"))
 
 
 def nearest(vectors: DataFrame, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the K nearest rows by cosine of each row whose vec_id is divisible by every, ties to the smaller id.
 
     Unusable vectors take no part (see usable); no usable vector gives no rows; repeated ids are separate rows with equal vectors.
+    A cosine is between vectors of one length: those of the commonest length are hashed, any others compared with all of their own length.
     """
     rows = usable(vectors)
     # the smallest ids of equal vectors; the limit is applied before the shuffle too
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     classes = written(rows.withColumn("place", place).where(F.col("place") <= K + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "ids", "v"), "ann-classes")
+    # of an id that several rows share, each row's own vector: classes are told apart by a number of their own
+    if not _distinct(classes):
+        classes = written(classes.orderBy("cid").withColumn("cid", F.monotonically_increasing_id()), "ann-numbered")
     asked = written(rows.where(F.col("vec_id") % every == 0).join(classes.select("v", "cid"), "v").select("vec_id", "cid"), "ann-queries")
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("v").toPandas()["v"]
-    if not len(sample):
+    lengths = classes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    if not lengths:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hasher = fitted(np.array(sample.tolist(), dtype=np.float64))
-    wanted = classes.join(asked.select("cid").distinct(), "cid")
-    data = _hashed(classes, hasher, False)
-    # all buckets with their number of blocks; a probe of an empty bucket ends here
-    sizes = data.groupBy("part", "bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = data.join(sizes, ["part", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    sent = _hashed(wanted, hasher, True).join(sizes, ["part", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = written(_ranked(_run(dealt, sent), classes), "ann-found")
+    common = classes.where(F.size("v") == lengths.n)
+    hasher = fitted(*sampled(common), lengths.c)
+    groups = -(-lengths.c // BLOCK)
+    hashed = written(_hashed(common, hasher, False), "ann-buckets")
+    # all buckets with their number of pieces; a probe of an empty bucket ends here
+    sizes = hashed.groupBy("part", "bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("pieces"))
+    grp = F.pmod(F.xxhash64("bucket", "piece"), F.lit(groups)).cast("int").alias("grp")
+    dealt = hashed.join(sizes.where("pieces > 1"), ["part", "bucket"], "left").withColumn("piece", F.pmod(F.xxhash64("cid"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    data = dealt.select("part", grp, "cid", F.array("bucket").alias("visits")).join(common.select("cid", "v"), "cid")
+    wanted = common.join(asked.select("cid").distinct(), "cid").select("cid", "v")
+    visited = _hashed(wanted, hasher, True).join(sizes, ["part", "bucket"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sent = visited.select("cid", "part", "bucket", grp).groupBy("cid", "part", "grp").agg(F.collect_set("bucket").alias("visits")).join(wanted, "cid")
+    found = written(_ranked(_run(data, sent), classes), "ann-found")
     short = asked.select("cid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("c")).where(F.col("c") > K), F.col("cid") == F.col("qid"), "left_anti")
     short = written(classes.join(short, "cid").select("cid", "v"), "ann-short")
     if not short.isEmpty():
         blocks = -(-classes.count() // BLOCK)
-        whole = classes.select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("block"), "cid", "v")
-        ask = short.select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "cid", "v")
+        part, none = (-F.size("v")).alias("part"), F.lit(None).cast("array<long>").alias("visits")
+        whole = classes.select(part, F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("grp"), "cid", F.array(F.lit(0).cast("long")).alias("visits"), "v")
+        ask = short.select(part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("grp"), "cid", none, "v")
         found = found.join(short.select(F.col("cid").alias("qid")), "qid", "left_anti").unionByName(_ranked(_run(whole, ask), classes))
     # a query row leaves out itself: once, should its id be repeated
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid"), F.monotonically_increasing_id().alias("row")).join(found, "qid")
@@ -250,6 +311,11 @@ def nearest(vectors: DataFrame, every: int = 50) -> DataFrame:
     return others.withColumn("rank", rank).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
 
 
+def _distinct(classes: DataFrame) -> bool:
+    rows, ids = classes.agg(F.count("*"), F.count_distinct("cid")).first()
+    return rows == ids
+
+
 def _ranked(found: DataFrame, classes: DataFrame) -> DataFrame:
     """qid, vec_id, score: each query class's K + 1 best rows."""
     once = found.groupBy("qid", "cid").agg(F.max("score").alias("score"))
