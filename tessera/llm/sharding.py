@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, table
 
 MAX_TABLE = 1 << 20
 TABLE_SIZE = 65537
@@ -61,10 +61,11 @@ def slot_of(key: Column, size: int) -> Column:
 def place(df: DataFrame, key: str, shards=SHARDS, size: int = TABLE_SIZE, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """df with the key's slot and shard. Existing columns of those two names are replaced; an empty df gives no rows; equal keys share a shard."""
     filled = fill_table(shards, size)
-    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(filled)], "_slot int, _shard string")
-    placed = df.withColumn("_key_slot", slot_of(F.col(key), size)).join(F.broadcast(lookup), F.col("_key_slot") == F.col("_slot"))
+    own, entry, name = named(df, "_key_slot", "_slot", "_shard")
+    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(filled)], f"{entry} int, {name} string")
+    placed = df.withColumn(own, slot_of(F.col(f"`{key}`"), size)).join(F.broadcast(lookup), F.col(own) == F.col(entry))
     keep = [F.col(f"`{c}`") for c in df.columns if c not in (slot, shard)]
-    return placed.select(*keep, F.col("_key_slot").alias(slot), F.col("_shard").alias(shard))
+    return placed.select(*keep, F.col(own).alias(slot), F.col(name).alias(shard))
 
 
 def op6_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Merkle fixity audit of two replicas of a record archive.
 
-Leaves are record ids: the digest of an id covers all records that carry it, by
-sums and extremes of their SHA-256 digests, so repeated ids need no ordering and
-a hot id is pre-aggregated before the shuffle. Inner nodes cover ordered ranges
-of FANOUT**level consecutive ids: a node's hash is the SHA-256 of its children's
-hashes in order. Ranges are aligned to ids, so a lost or added record changes one
-path and not everything behind it. Both replicas' hashes of a node sit in one
-row; a branch is descended only while the two differ.
-
-Byte offsets are running sums inside a file of FILE_IDS consecutive ids, as the
-primary replica lays them out (a group of at most FILE_IDS rows).
+Each replica has a tree of its own. Leaves are record ids: a leaf's hash covers all records that carry the id,
+by their number and the sums of all digits of their SHA-256 digests (in five pieces), so repeated ids need no
+ordering and a hot id is pre-aggregated before the shuffle. Records lie in files of FILE_IDS consecutive ids, each in
+the replica's own order; a record's offset is the sum of the bytes before it in its file.
+
+Inner nodes are ordered offset ranges: that of FANOUT consecutive ids of a file, then the file, each hashed as the list
+of its children's offsets (from the range's first byte), lengths and hashes in the order of their
+offsets. So a changed, lost, added or moved record changes its range and what is above it; ranges behind it keep
+their hashes, since they count offsets from their own first byte. Above the files nodes cover FANOUT children each, up to one root for each
+replica. The roots are compared first, and a branch is descended only while the two replicas' hashes of it differ.
 """
 
 from __future__ import annotations
@@ -19,62 +19,90 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop_written, table, written
 
 FAN_BITS = 6
-LEVELS = 5
-FILE_BITS = 12
+FILE_LEVEL = 2  # a file holds 2 ** (FAN_BITS * FILE_LEVEL) ids
+PIECES = 5  # of a digest, 13 hexadecimal digits each
+_NODE = ("h", "g", "start", "length", "lo_id", "hi_id")
 
 
-def _leaves(records: DataFrame, key: str, fields: list[str], tag: str) -> DataFrame:
-    """One row an id. Nulls hash unlike empty strings; records without an id form the leaf of id -1."""
+def _leaves(records: DataFrame, key: str, fields: list[str], order: str | None, none: int) -> DataFrame:
+    """One row an id. Nulls hash unlike empty strings; records without an id form the leaf of id none."""
     body = F.concat_ws("\n", *(F.coalesce(F.concat(F.lit("+"), F.col(f"`{f}`").cast("string")), F.lit("-")) for f in fields))
-    each = records.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)).alias("id"), F.sha2(body, 256).alias("d"), F.octet_length(body).cast("long").alias("n"))
-    word = F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(20,0)")
-    per_id = each.groupBy("id").agg(F.count("*").alias("c"), F.sum(word).cast("decimal(38,0)").alias("s"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum("n").alias("n"))
-    return per_id.select("id", F.sha2(F.concat_ws(":", F.col("c").cast("string"), F.col("s").cast("string"), "lo", "hi"), 256).alias(f"h_{tag}"), F.col("n").alias(f"n_{tag}"))
-
-
-def _parent(hash_col: str) -> Column:
-    children = F.array_sort(F.collect_list(F.when(F.col(hash_col).isNotNull(), F.struct("node", hash_col))))
-    joined = F.array_join(F.transform(children, lambda x: x[hash_col]), "")
-    return F.when(F.size(children) > 0, F.sha2(joined, 256)).alias(hash_col)
-
-
-def build(primary: DataFrame, replica: DataFrame, key: str, fields: list[str], levels: int = LEVELS) -> list[DataFrame]:
-    """The tree's levels, leaves first: node, h_a, h_b (null: nothing there), lo_id, hi_id, file, start, length of the primary's bytes."""
-    both = _leaves(primary, key, fields, "a").join(_leaves(replica, key, fields, "b"), "id", "full_outer")
-    in_file = Window.partitionBy("file").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.coalesce("n_a", F.lit(0))
-    leaves = both.withColumn("file", F.shiftright("id", FILE_BITS)).select(
-        F.lit(0).alias("level"), F.col("id").alias("node"), "h_a", "h_b", F.col("id").alias("lo_id"), F.col("id").alias("hi_id"),
-        "file", (F.sum(size).over(in_file) - size).alias("start"), size.alias("length"),
+    at = F.col(f"`{order or key}`").alias("at")
+    each = records.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(none)).alias("id"), at, F.sha2(body, 256).alias("d"), F.octet_length(body).cast("long").alias("n"))
+    sums = [F.sum(F.conv(F.substring("d", 13 * i + 1, 13), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"s{i}") for i in range(PIECES)]
+    per_id = each.groupBy("id").agg(F.count("*").alias("c"), F.sum("n").alias("length"), F.min("at").alias("at"), *sums)
+    in_file = Window.partitionBy(F.shiftright("id", FAN_BITS * FILE_LEVEL)).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = F.sha2(F.concat_ws(":", F.col("c").cast("string"), *(F.col(f"s{i}").cast("string") for i in range(PIECES))), 256)
+    own = F.when(F.col("id") != none, F.col("id"))
+    return per_id.select(F.col("id").alias("node"), h.alias("h"), h.alias("g"), (F.sum("length").over(in_file) - F.col("length")).alias("start"), "length", own.alias("lo_id"), own.alias("hi_id"))
+
+
+def _parents(nodes: DataFrame, parent: Column, in_file: bool) -> DataFrame:
+    """The next level: h covers the children's offsets (above the files: their places), lengths and hashes; g only their hashes, by id."""
+    group = nodes.withColumn("parent", parent).groupBy("parent").agg(
+        F.collect_list(F.struct("start", "node", "length", "h")).alias("c"), F.collect_list(F.struct("node", "g")).alias("k"),
+        F.min("start").alias("start"), F.sum("length").alias("length"), F.min("lo_id").alias("lo_id"), F.max("hi_id").alias("hi_id"),
     )
-    out = [written(leaves, "fixity-0")]
+    if in_file:
+        ordered, place = F.array_sort("c"), lambda x: x.start - F.col("start")
+    else:
+        ordered, place = F.array_sort(F.transform("c", lambda x: F.struct(x.node.alias("node"), x.length.alias("length"), x.h.alias("h")))), lambda x: x.node
+    h = F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", place(x).cast("string"), x.length.cast("string"), x.h)), "|"), 256)
+    g = F.sha2(F.array_join(F.transform(F.array_sort("k"), lambda x: x.g), ""), 256)
+    start = F.col("start") if in_file else F.lit(None).cast("long").alias("start")
+    return group.select(F.col("parent").alias("node"), h.alias("h"), g.alias("g"), start, "length", "lo_id", "hi_id")
+
+
+def height(replicas: list[DataFrame], key: str) -> tuple[int, int]:
+    """Levels over the leaves up to the root, and the id that stands for none."""
+    ends = [r.agg(F.min(F.col(f"`{key}`").cast("long")), F.max(F.col(f"`{key}`").cast("long"))).first() for r in replicas]
+    found = [x for e in ends for x in e if x is not None]
+    least, most = min(found, default=0), max(found, default=0)
+    none = most + 1 if most < 1 << 62 else least - 1
+    bits = max(abs(x).bit_length() for x in (least, most, none))
+    return max(FILE_LEVEL, -(-bits // FAN_BITS)) + 1, none
+
+
+def build(replica: DataFrame, key: str, fields: list[str], levels: int, none: int, order: str | None = None) -> list[DataFrame]:
+    """The tree's levels, leaves first, the root last: node, h, g, start, length, lo_id, hi_id. A node's children share all but the last FAN_BITS bits; the root's are what is left of either sign."""
+    out = [written(_leaves(replica, key, fields, order, none), "fixity-0")]
     for level in range(1, levels + 1):
-        up = out[-1].withColumn("parent", F.shiftright("node", FAN_BITS)).groupBy("parent").agg(
-            _parent("h_a"), _parent("h_b"), F.min("lo_id").alias("lo_id"), F.max("hi_id").alias("hi_id"),
-            F.min("file").alias("file"), F.min(F.struct("file", "start")).alias("first"), F.sum("length").alias("length"),
-        )
-        up = up.select(F.lit(level).alias("level"), F.col("parent").alias("node"), "h_a", "h_b", "lo_id", "hi_id", "file", F.col("first.start").alias("start"), "length")
-        out.append(written(up, f"fixity-{level}"))
+        parent = F.shiftright("node", FAN_BITS) if level < levels else F.lit(0).cast("long")
+        out.append(written(_parents(out[-1], parent, level <= FILE_LEVEL), f"fixity-{level}"))
     return out
 
 
-def audit(primary: DataFrame, replica: DataFrame, key: str, fields: list[str], levels: int = LEVELS) -> DataFrame:
-    """Every mismatching node, from the roots down to single ids: level (0: one id), node, lo_id, hi_id, file, start, length,
-    primary_hash, replica_hash, status (corrupt, missing or extra in the replica). Equal replicas, or two empty ones, give no rows.
+def audit(primary: DataFrame, replica: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """Every mismatching node, from the roots down to single ids: level (0: one id), node, lo_id, hi_id, start, length (offsets in the primary's file, in the
+    replica's for what only that has; null above files), primary_hash, replica_hash, status (corrupt, missing or extra in the replica; moved: the same records at other offsets).
+
+    order names the column that orders a file's records in both replicas (by default, the id; several records of one id lie together, at the first one's place).
+    Equal replicas, or two empty ones, give no rows. Records without an id are one leaf, with null lo_id and hi_id.
     """
-    tree = build(primary, replica, key, fields, levels)
-    differs = ~F.col("h_a").eqNullSafe(F.col("h_b"))
-    found = [tree[-1].where(differs)]
-    for nodes in reversed(tree[:-1]):
+    levels, none = height([primary, replica], key)
+    trees = [build(r, key, fields, levels, none, order) for r in (primary, replica)]
+
+    def both(level: int) -> DataFrame:
+        a, b = (t[level].select("node", *(F.col(c).alias(f"{c}_{tag}") for c in _NODE)) for t, tag in zip(trees, "ab"))
+        return a.join(b, "node", "full_outer").where(~F.col("h_a").eqNullSafe(F.col("h_b"))).withColumn("level", F.lit(level))
+
+    found = [written(both(levels), "fixity-differs")]
+    for level in range(levels - 1, -1, -1):
         above = found[-1].select(F.col("node").alias("above"))
-        found.append(nodes.join(above, F.shiftright("node", FAN_BITS) == F.col("above"), "left_semi").where(differs))
-    status = F.when(F.col("h_b").isNull(), "missing").when(F.col("h_a").isNull(), "extra").otherwise("corrupt")
-    return reduce(DataFrame.unionByName, found).select(
-        "level", "node", "lo_id", "hi_id", "file", "start", "length", F.col("h_a").alias("primary_hash"), F.col("h_b").alias("replica_hash"), status.alias("status")
-    )
+        parent = F.shiftright("node", FAN_BITS) if level + 1 < levels else F.lit(0).cast("long")
+        # only children of nodes that differ are compared
+        for t in trees:
+            t[level] = t[level].withColumn("above", parent).join(above, "above", "left_semi").drop("above")
+        found.append(written(both(level), "fixity-differs"))
+    status = F.when(F.col("h_b").isNull(), "missing").when(F.col("h_a").isNull(), "extra").when(F.col("g_a") == F.col("g_b"), "moved").otherwise("corrupt")
+    one = [F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("start", "length")]
+    ids = [F.least("lo_id_a", "lo_id_b").alias("lo_id"), F.greatest("hi_id_a", "hi_id_b").alias("hi_id")]
+    out = written(reduce(DataFrame.unionByName, found).select("level", "node", *ids, *one, F.col("h_a").alias("primary_hash"), F.col("h_b").alias("replica_hash"), status.alias("status")), "fixity-report")
+    drop_written(*found, *(level for t in trees for level in t))
+    return out
 
 
 def rotten_replica(pages: DataFrame) -> DataFrame:
@@ -90,22 +118,30 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(pages, rotten_replica(pages), "page_id", ["url", "html"])
 
 
-def _oracle() -> str:
-    leaf = """SELECT id, sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST('0x' || substr(d, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || ':' || min(d) || ':' || max(d)) AS h,
-        CAST(sum(n) AS BIGINT) AS n FROM (SELECT page_id AS id, sha256(b) AS d, octet_length(encode(b)) AS n FROM (SELECT page_id, '+' || url || chr(10) || '+' || html AS b FROM {src})) GROUP BY id"""
-    sql = f"""WITH replica AS (
+def _oracle(levels: int = 5) -> str:
+    """levels: as many as the added ids, of up to 24 bits, take."""
+    pieces = ["CAST(sum(CAST(CAST('0x' || substr(d, {}, 13) AS BIGINT) AS HUGEINT)) AS VARCHAR)".format(13 * i + 1) for i in range(PIECES)]
+    hashed = " || ':' || ".join(["CAST(count(*) AS VARCHAR)", *pieces])
+    file = FAN_BITS * FILE_LEVEL
+    sql = """WITH replica AS (
         SELECT page_id, url, CASE WHEN page_id % 101 = 7 THEN '?' || substr(html, 2) ELSE html END AS html FROM pages WHERE page_id % 211 <> 5
-        UNION ALL SELECT page_id + 10000000, url, html FROM pages WHERE page_id % 307 = 3),
-      a AS ({leaf.format(src="pages")}), b AS ({leaf.format(src="replica")}),
-      leaves AS (SELECT coalesce(a.id, b.id) AS node, a.h AS h_a, b.h AS h_b, coalesce(a.n, 0) AS length FROM a FULL JOIN b ON a.id = b.id),
-      l0 AS (SELECT 0 AS level, node, h_a, h_b, node AS lo_id, node AS hi_id, node >> {FILE_BITS} AS file,
-        CAST(sum(length) OVER (PARTITION BY node >> {FILE_BITS} ORDER BY node) - length AS BIGINT) AS start, length FROM leaves)"""
-    for k in range(1, LEVELS + 1):
-        sql += f""", l{k} AS (SELECT {k} AS level, node >> {FAN_BITS} AS node, sha256(string_agg(h_a, '' ORDER BY node)) AS h_a, sha256(string_agg(h_b, '' ORDER BY node)) AS h_b,
-          min(lo_id) AS lo_id, max(hi_id) AS hi_id, min(file) AS file, arg_min(start, lo_id) AS start, CAST(sum(length) AS BIGINT) AS length FROM l{k - 1} GROUP BY node >> {FAN_BITS})"""
-    every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(LEVELS + 1))
-    return f"""{sql} SELECT level, node, lo_id, hi_id, file, start, length, h_a AS primary_hash, h_b AS replica_hash,
-      CASE WHEN h_b IS NULL THEN 'missing' WHEN h_a IS NULL THEN 'extra' ELSE 'corrupt' END AS status FROM ({every}) WHERE h_a IS DISTINCT FROM h_b"""
+        UNION ALL SELECT page_id + 10000000, url, html FROM pages WHERE page_id % 307 = 3)"""
+    for tag, src in (("a", "pages"), ("b", "replica")):
+        sql += f""", {tag}x AS (SELECT id AS node, sha256({hashed}) AS h, CAST(sum(n) AS BIGINT) AS length FROM (
+            SELECT page_id AS id, sha256(b) AS d, octet_length(encode(b)) AS n FROM (SELECT page_id, '+' || url || chr(10) || '+' || html AS b FROM {src})) GROUP BY id),
+          {tag}0 AS (SELECT node, h, h AS g, CAST(sum(length) OVER (PARTITION BY node >> {file} ORDER BY node) - length AS BIGINT) AS start, length, node AS lo_id, node AS hi_id FROM {tag}x)"""
+        for k in range(1, levels + 1):
+            parent = f"node >> {FAN_BITS}" if k < levels else "0::BIGINT"
+            place, by, start = ("start - least_start", "start, node", "min(start)") if k <= FILE_LEVEL else ("node", "node", "CAST(NULL AS BIGINT)")
+            sql += f""", {tag}{k} AS (SELECT parent AS node, sha256(string_agg(CAST({place} AS VARCHAR) || ':' || CAST(length AS VARCHAR) || ':' || h, '|' ORDER BY {by})) AS h,
+              sha256(string_agg(g, '' ORDER BY node)) AS g, {start} AS start, CAST(sum(length) AS BIGINT) AS length, min(lo_id) AS lo_id, max(hi_id) AS hi_id
+              FROM (SELECT *, {parent} AS parent, min(start) OVER (PARTITION BY {parent}) AS least_start FROM {tag}{k - 1}) GROUP BY parent)"""
+    every = " UNION ALL ".join(
+        f"""SELECT {k} AS level, coalesce(a.node, b.node) AS node, least(a.lo_id, b.lo_id) AS lo_id, greatest(a.hi_id, b.hi_id) AS hi_id, coalesce(a.start, b.start) AS start,
+        coalesce(a.length, b.length) AS length, a.h AS primary_hash, b.h AS replica_hash, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' WHEN a.g = b.g THEN 'moved' ELSE 'corrupt' END AS status
+        FROM a{k} a FULL JOIN b{k} b ON a.node = b.node WHERE a.h IS DISTINCT FROM b.h""" for k in range(levels + 1)
+    )
+    return f"{sql} {every}"
 
 
 QUERIES = {"op4_warc_fixity": op4_warc_fixity}

@@ -87,3 +87,15 @@ def test_rows_of_one_id_are_not_multiplied(make_docs, rows):
     got = ld.deduplicated(make_docs(rows + [(None, t) for _, t in rows])).collect()
     assert len(got) == 2 * len(rows) and want
     assert all(not r.text.strip() for r in got if r.doc_id is not None)  # rows without an id come first
+
+
+def test_names_of_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c", 7, 8, 9), (1, "d e f\na b c", 7, 8, 9)], "doc_id long, text string, _row int, _gone int, _at int")
+    got = sorted(ld.deduplicated(df).collect())
+    assert [(r._row, r._gone, r._at) for r in got] == [(7, 8, 9)] * 2 and sorted("\n".join(r.text for r in got if r.text).split("\n")) == ["a b c", "d e f"]
+
+
+def test_one_word_in_every_line(make_docs):
+    rng = random.Random(12)
+    rows = [(i, "\n".join("common " + " ".join(rng.choices(VOCABULARY[:8], k=rng.randint(0, 9))) for _ in range(4))) for i in range(150)]
+    assert {(r.doc_id, r.line_no) for r in ld.duplicates(make_docs(rows)).collect()} == brute(rows)

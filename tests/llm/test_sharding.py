@@ -46,3 +46,9 @@ def test_placement(spark, edge_docs):
     assert got.where("doc_id = 7").select("shard").distinct().count() == 1
     assert sharding.place(edge_docs.limit(0), "doc_id").count() == 0
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([("a", 1, 2, 3)], "k string, _slot int, _shard int, _key_slot int")
+    got = sharding.place(df, "k").first()
+    assert (got._slot, got._shard, got._key_slot) == (1, 2, 3) and got.slot == sharding.place(df.select("k"), "k").first().slot

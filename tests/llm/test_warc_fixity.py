@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import warc_fixity as w
 
+FIELDS = ["url", "html"]
+
 
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -13,28 +15,57 @@ def test_only_damaged_paths_are_reported(spark):
     base = [(i, f"u{i}", f"<p>{i}</p>") for i in range(0, 20_000, 7)]
     changed = {7 * 13: "<p>!</p>", 7 * 2500: "x"}
     other = [(i, u, changed.get(i, h)) for i, u, h in base if i != 7 * 100] + [(5, "new", "page")]
-    got = w.audit(pages(spark, base), pages(spark, other), "page_id", ["url", "html"]).collect()
+    got = w.audit(pages(spark, base), pages(spark, other), "page_id", FIELDS).collect()
     leaves = {r.node: r.status for r in got if r.level == 0}
     assert leaves == {91: "corrupt", 17_500: "corrupt", 700: "missing", 5: "extra"}
-    for level in range(1, w.LEVELS + 1):
+    top = max(r.level for r in got)
+    for level in range(1, top):
         assert {r.node for r in got if r.level == level} == {n >> 6 * level for n in leaves}
+    assert [r.node for r in got if r.level == top] == [0]  # one root
     start = sum(len(f"+u{i}\n+<p>{i}</p>") for i in range(0, 700, 7))
     assert next(r.start for r in got if r.level == 0 and r.node == 700) == start
 
 
 def test_hashes_by_definition(spark):
-    rows = [(0, "u", "a"), (1, "u", "b")]
-    tree = w.build(pages(spark, rows), pages(spark, rows), "page_id", ["url", "html"], 1)
+    rows = [(0, "u", "a"), (1, "u", "bb")]
+    tree = w.build(pages(spark, rows), "page_id", FIELDS, 3, 99)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    leaf = [sha(f"1:{int(d[:15], 16)}:{d}:{d}") for d in (sha("+u\n+a"), sha("+u\n+b"))]
-    assert [r.h_a for r in tree[0].orderBy("node").collect()] == leaf
-    assert tree[1].first().h_b == sha("".join(leaf))
+    leaf = []
+    for d in (sha("+u\n+a"), sha("+u\n+bb")):
+        leaf.append(sha(":".join(["1", *(str(int(d[i : i + 13], 16)) for i in range(0, 64, 13))])))
+    assert [r.h for r in tree[0].orderBy("node").collect()] == leaf
+    range_hash = sha(f"0:5:{leaf[0]}|5:6:{leaf[1]}")
+    assert tree[1].first().h == range_hash and tree[1].first().g == sha("".join(leaf))
+    assert tree[2].first().h == sha(f"0:11:{range_hash}") and tree[3].first().h == sha(f"0:11:{sha(f'0:11:{range_hash}')}")
+
+
+def test_a_reordered_replica_is_seen(spark):
+    base = spark.createDataFrame([(i, i, f"page {i} {'x' * (i % 5)}") for i in range(300)], "id long, pos long, body string")
+    swapped = base.withColumn("pos", F.expr("CASE id WHEN 10 THEN 11 WHEN 11 THEN 10 WHEN 130 THEN 200 ELSE pos END"))
+    got = w.audit(base, swapped, "id", ["body"], order="pos").collect()
+    assert {(r.level, r.node, r.status) for r in got if r.level <= 1} == {(1, 0, "moved"), (1, 2, "moved"), (1, 3, "moved")}
+    assert w.audit(base, base.orderBy(F.rand(3)), "id", ["body"], order="pos").count() == 0
+
+
+def test_large_and_negative_ids_have_one_root(spark):
+    rows = [((1 << 61) + i, "u", str(i)) for i in range(3)] + [(-(1 << 40), "u", "n"), (5, "u", "5")]
+    other = [(i, u, h if i > 0 else "?") for i, u, h in rows]
+    got = w.audit(pages(spark, rows), pages(spark, other), "page_id", FIELDS).collect()
+    top = max(r.level for r in got)
+    assert [(r.node, r.status) for r in got if r.level == 0] == [(-(1 << 40), "corrupt")] and len([r for r in got if r.level == top]) == 1 and len(got) == top + 1
+
+
+def test_every_record_of_a_repeated_id_is_guarded(spark):
+    rows = [(1, "u", str(k)) for k in range(9)]
+    for k in (0, 4):
+        other = [(i, u, h if h != str(k) else "changed") for i, u, h in rows]
+        assert {r.status for r in w.audit(pages(spark, rows), pages(spark, other), "page_id", FIELDS).where("level = 0").collect()} == {"corrupt"}
 
 
 def test_edges(spark):
-    rows = [(None, "u", "h"), (1, None, ""), (1, None, ""), (1, "", None), (-9, "u", "y" * 300_000), (4, None, None)]
-    a = pages(spark, rows).withColumn("node", F.lit(1)).withColumn("h_a", F.lit("z"))
-    assert w.audit(a, a, "page_id", ["url", "html"]).count() == 0
-    assert w.audit(a.limit(0), a.limit(0), "page_id", ["url", "html"]).count() == 0
-    got = w.audit(a, pages(spark, rows[1:2] + rows[3:]), "page_id", ["url", "html"]).where("level = 0").collect()
-    assert {(r.node, r.status) for r in got} == {(-1, "missing"), (1, "corrupt")}
+    rows = [(None, "u", "h"), (1, None, ""), (1, None, ""), (1, "", None), (-1, "u", "h"), (-9, "u", "y" * 300_000), (4, None, None)]
+    a = pages(spark, rows).withColumn("node", F.lit(1)).withColumn("h", F.lit("z"))
+    assert w.audit(a, a, "page_id", FIELDS).count() == 0
+    assert w.audit(a.limit(0), a.limit(0), "page_id", FIELDS).count() == 0
+    got = w.audit(a, pages(spark, rows[1:2] + rows[3:]), "page_id", FIELDS).where("level = 0").collect()
+    assert {(r.lo_id, r.status) for r in got} == {(None, "missing"), (1, "corrupt")}
