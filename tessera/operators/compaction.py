@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TableSpec
+from ..shared import drop_written, exists, written
 
 CHUNK_ROWS = 10_000
 CHUNKS_PER_BUCKET = 100
@@ -19,11 +20,11 @@ def assign(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
 
 def complete(df: DataFrame, size: int = CHUNK_ROWS, include_partial: bool = False) -> DataFrame:
-    """Rows of chunks that have all of their size sequences. Counting is a partial aggregate of one row a chunk and task; rows are not shuffled for it."""
+    """Rows of chunks that have all of their size sequences, each once or more often. Counting is a partial aggregate, first of one row a sequence, then of one a chunk."""
     chunks = assign(df, size)
     if include_partial:
         return chunks
-    whole = chunks.groupBy("chunk_seq").agg(F.count("*").alias("n")).where(F.col("n") == size).select("chunk_seq")
+    whole = chunks.groupBy("chunk_seq").agg(F.count_distinct("seq").alias("n")).where(F.col("n") == size).select("chunk_seq")
     return chunks.join(whole, "chunk_seq", "left_semi")
 
 
@@ -48,8 +49,15 @@ def pivot(df: DataFrame, spec: TableSpec) -> DataFrame:
 def write(df: DataFrame, spec: TableSpec, path: str, size: int = CHUNK_ROWS, include_partial: bool = False) -> None:
     """Write complete chunks as Parquet, many to a file: chunk_seq is a sorted column whose statistics prune, chunk_bucket a coarse partition.
 
-    Buckets in df are replaced, so a retry must hold all of a bucket's chunks; others stay as they are.
+    Chunks in df replace those of the same number, all others stay: a retry gives the same table. Nothing but the buckets that df touches is rewritten.
     """
-    chunks = complete(df, size, include_partial).withColumn("chunk_bucket", F.expr(f"chunk_seq DIV {CHUNKS_PER_BUCKET}"))
+    chunks = complete(df, size, include_partial).withColumn("chunk_bucket", F.expr(f"chunk_seq DIV {CHUNKS_PER_BUCKET}")).select("chunk_bucket", "chunk_seq", "seq", *spec.columns)
+    spark, staged = df.sparkSession, None
+    if exists(spark, path):
+        new = chunks.select("chunk_bucket", "chunk_seq").distinct()
+        others = spark.read.parquet(path).join(new.select("chunk_bucket").distinct(), "chunk_bucket", "left_semi").join(new.select("chunk_seq"), "chunk_seq", "left_anti")
+        chunks = staged = written(chunks.unionByName(others.select(*chunks.columns)), "chunks")
     ordered = chunks.repartitionByRange("chunk_bucket", "chunk_seq").sortWithinPartitions("chunk_bucket", "chunk_seq", *spec.sort_keys, "seq")
-    ordered.select("chunk_bucket", "chunk_seq", "seq", *spec.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_bucket").parquet(path)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_bucket").parquet(path)
+    if staged is not None:
+        drop_written(staged)

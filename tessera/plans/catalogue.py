@@ -7,15 +7,13 @@ Chunks hold 1000 rows; CHUNK_ODD leaves an incomplete tail.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, relational
 from ..operators import compaction, ingest, query
 from ..schema import TableSpec
+from ..shared import shared_path
 from ..sources import chunk_format
 from ..streaming import ingest as streaming
 
@@ -36,14 +34,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LINES.project(raw, t=time, quantity=F.col("l_quantity"), price=F.col("l_extendedprice"), discount=F.col("l_discount"), line=F.col("l_linenumber"), supplier=F.col("l_suppkey"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/tessera/{name}-{uuid.uuid4().hex}"
-
-
 def _arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as they might arrive out of time order: seq = event_id * 7919 mod 10000 within each 10000 ids."""
     at = (F.col("seq") - F.col("seq") % 10_000) + (F.col("seq") * 7919) % 10_000
@@ -86,7 +76,7 @@ def append_rows(spark, sf_dir):
 
 def dense_sequence(spark, sf_dir):
     df = events(spark, sf_dir).drop("seq")
-    return ingest.with_sequence(df, "t", "u").select("seq", "t", "u")
+    return ingest.with_sequence(df, "t", "u").select("seq", "t", "u", "v")
 
 
 def read_batch(spark, sf_dir):
@@ -118,14 +108,14 @@ def pivot_columns(spark, sf_dir):
 
 def chunk_table(spark, sf_dir):
     """Rows of the chunk table after it has been written and read again."""
-    path = _shared(spark, "chunks")
+    path = shared_path(spark, "chunks")
     compaction.write(events(spark, sf_dir), EVENTS, path, CHUNK_ODD)
     return spark.read.parquet(path).select("chunk_seq", "seq", "t", "v", "u")
 
 
 def sql_view(spark, sf_dir):
     """The generated SQL view over the chunk table."""
-    path = _shared(spark, "chunks")
+    path = shared_path(spark, "chunks")
     compaction.write(events(spark, sf_dir), EVENTS, path, CHUNK)
     query.register(spark, EVENTS, path)
     return spark.sql("SELECT u, round(average, 6) AS average, rows FROM event_metrics_v_by_u")
@@ -173,7 +163,7 @@ def binary_average(spark, sf_dir):
 
 def streamed_chunks(spark, sf_dir):
     """events as a stream, compacted by micro-batches: the chunk table's rows, without the tail that waits."""
-    base = _shared(spark, "stream")
+    base = shared_path(spark, "stream")
     source = f"{base}/source"
     events(spark, sf_dir).repartitionByRange(5, "t").sortWithinPartitions("t").select("t", "v", "u").write.parquet(source)
     stream = spark.readStream.schema("t long, v float, u int").option("maxFilesPerTrigger", 2).parquet(source)
@@ -203,7 +193,7 @@ CATALOGUE = {
     "masked_totals": (masked_totals, f"SELECT target, round(coalesce(sum(CAST(v AS DOUBLE)), 0.0::DOUBLE), 4) AS total, count(u) AS matches, round(coalesce(avg(CAST(v AS DOUBLE)), 0.0::DOUBLE), 6) AS average FROM (VALUES (1), (2), (3), (-7)) w(target) LEFT JOIN {_E} ON u = target GROUP BY target"),
     "project_columns": (project_columns, f"SELECT v, u FROM {_E}"),
     "append_rows": (append_rows, f"SELECT seq, t, v, u FROM {_E}"),
-    "dense_sequence": (dense_sequence, f"SELECT row_number() OVER (ORDER BY t, u) - 1 AS seq, t, u FROM {_E}"),
+    "dense_sequence": (dense_sequence, f"SELECT row_number() OVER (ORDER BY t, u) - 1 AS seq, t, u, v FROM {_E}"),
     "read_batch": (read_batch, f"SELECT seq, u FROM {_E} WHERE seq BETWEEN 200 AND 499"),
     "chunk_assignment": (chunk_assignment, f"SELECT seq // {CHUNK} AS chunk_seq, count(*) AS rows, min(seq) AS first, max(seq) AS last FROM {_E} GROUP BY 1"),
     "complete_chunks": (complete_chunks, f"SELECT seq // {CHUNK_ODD} AS chunk_seq, seq FROM {_E} WHERE seq < (SELECT count(*) FROM events) // {CHUNK_ODD} * {CHUNK_ODD}"),

@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -154,9 +155,12 @@ def test_stream_gives_the_batch_chunks_and_survives_a_repeat(spark, tmp_path):
     got = streaming.read_chunks(spark, chunks)
     first = sorted(map(tuple, got.collect()))
     assert [r[0] for r in first] == sorted(i // 300 for i in range(900))
-    assert len({r[1] for r in first}) == 900 and streaming.backlog(spark, hot, 300).first() == (899, 100)
-    last = spark.read.parquet(hot).agg(F.max("batch")).first()[0]
-    again = spark.read.parquet(f"{hot}/batch={last}").drop("seq")
+    assert len({r[1] for r in first}) == 900 and streaming.backlog(spark, hot).first() == (899, 100)
+    last = max(int(d.name.split("=")[1]) for d in Path(hot).iterdir())
+    assert len(list(Path(hot).iterdir())) == 2 and last > 3  # rows whose chunk is written have been released
+    before = spark.read.parquet(f"{hot}/batch={last - 1}/end").first().end
+    held = got.select("seq", "t", "v", "u").unionByName(spark.read.parquet(f"{hot}/batch={last}/rows"))
+    again = spark.createDataFrame(held.where(F.col("seq") >= before).drop("seq").collect(), "t long, v float, u int")
     streaming.compact_batch(again, last, SPEC, 300, hot, chunks)
     assert sorted(map(tuple, streaming.read_chunks(spark, chunks).collect())) == first
     rows.limit(0).write.mode("append").parquet(source)
@@ -178,3 +182,35 @@ def test_sequence_counts_and_numbers_one_exchange(spark):
     assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()  # no range exchange is left to be made twice
     got = [(r.seq, r.k) for r in out.select("seq", "k").collect()]
     assert sorted(s for s, _ in got) == list(range(20_000)) and [k for _, k in sorted(got)] == sorted(k for _, k in got)
+
+
+@pytest.mark.parametrize("n", [100_000, 3_000_000])
+def test_sequence_with_columns_that_are_no_key(spark, n):
+    rows = spark.range(n).select((F.hash("id") % 50_000).alias("k"), F.col("id").alias("i"), (F.col("id") * 3).alias("v"), F.repeat(F.lit("x"), 5).alias("w"))
+    out = ingest.with_sequence(rows, "k", "i")
+    got = out.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq"), F.sum("i"), F.sum("v"), F.count("w")).first()
+    assert tuple(got) == (n, n, 0, n - 1, n * (n - 1) // 2, 3 * n * (n - 1) // 2, n)
+
+
+def test_complete_means_every_sequence(spark):
+    rows = spark.createDataFrame([(0,), (0,), (2,), (3,), (4,), (5,), (5,), (6,)], "seq long")
+    assert sorted(r.seq for r in compaction.complete(rows, 3).collect()) == [3, 4, 5, 5]
+
+
+def test_a_batch_of_some_chunks_keeps_the_others(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("seq"), F.col("id").alias("t"), F.lit(1.0).cast("float").alias("v"), F.lit(1).alias("u"))
+    path = str(tmp_path / "c")
+    for part in (rows.where("seq < 1000"), rows.where("seq >= 1000"), rows.where("seq between 300 and 599").withColumn("u", F.lit(2))):
+        compaction.write(part, SPEC, path, 100)
+    got = spark.read.parquet(path)
+    assert got.count() == 2000 and got.agg(F.count_distinct("seq")).first()[0] == 2000 and got.where("u = 2").count() == 300
+
+
+def test_built_in_telemetry_table(spark):
+    raw = spark.createDataFrame([(i, 45.0 + i, 80.0, i % 4, "extra") for i in range(8)], "timestamp long, cpu_usage double, mem_usage double, entity_id int, other string")
+    rows = TELEMETRY.project(raw)
+    assert rows.columns == ["timestamp", "cpu_usage", "mem_usage", "entity_id"] and [t for _, t in rows.dtypes] == ["bigint", "float", "float", "int"]
+    assert TableSpec.from_schema("telemetry", rows.schema).columns == TELEMETRY.columns
+    averages = query.generated(TELEMETRY)
+    assert sorted(averages) == ["average_cpu_usage_for_entity_id", "average_mem_usage_for_entity_id"]
+    assert averages["average_cpu_usage_for_entity_id"](rows, 1).first()[0] == 48.0
