@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,13 +86,14 @@ class Transducer:
         self.unknown = kinds.index(_UNKNOWN) if _UNKNOWN in kinds else 0
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, kinds)) if k == _BYTE} if model["fallback"] else {}
         self.score = {t: s for t, s, k in zip(self.text, model["scores"], kinds) if k == _NORMAL}
-        self.trie: dict = {}
+        self.trie: dict = {}  # character -> [the nodes behind it, the piece that ends there or -1, its weight]
         for i, (t, k) in enumerate(zip(self.text, kinds)):
             if k == _NORMAL:
-                node = self.trie
+                nodes, end = self.trie, None
                 for c in t:
-                    node = node.setdefault(c, {})
-                node[""] = (i, -model["scores"][i])
+                    end = nodes.setdefault(c, [{}, -1, 0.0])
+                    nodes = end[0]
+                end[1:] = i, -model["scores"][i]
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("pieces that run over a word's start are not compiled")
         self._read_spaces(self.trie)
@@ -99,7 +101,8 @@ class Transducer:
         end = "" if any("\n" in t and len(t) > 1 for t in self.score) else "\n"
         self.units = re.compile(f"[ {SPACE}]*[^ {SPACE}{end}]+|[ {SPACE}]+" + ("|\n" if end else ""))
         self.penalty = 10.0 - min(self.score.values(), default=0.0)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = defaultdict(dict)  # last piece -> piece -> whether it may follow
+        self.held, self.longest = 0, max(map(len, self.score), default=1)
         self.words = _Words(self._path)
         self.out = [b"" if k in (_CONTROL, _UNKNOWN) else t.replace(SPACE, " ").encode() for t, k in zip(self.text, kinds)]
         for byte, i in self.bytes.items():
@@ -119,41 +122,44 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _read_spaces(self, node: dict) -> None:
+    def _read_spaces(self, nodes: dict) -> None:
         """Compose the normaliser with the pieces: what reads the space mark reads a space."""
-        work = [node]
+        work = [nodes]
         while work:
-            node = work.pop()
-            work += [x for c, x in node.items() if c]
-            if SPACE in node:
-                node[" "] = node[SPACE]
+            nodes = work.pop()
+            work += [x[0] for x in nodes.values()]
+            if SPACE in nodes:
+                nodes[" "] = nodes[SPACE]
 
     def follows(self, last: int, token: int) -> bool:
         """The bigram machine's arcs. A token under -1 is a character that is no piece."""
-        key = (last, token)
-        got = self.pairs.get(key)
+        got = self.pairs[last].get(token)
         if got is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            names = [self.text[t] if t >= 0 else chr(-t - 2) for t in ((token,) if last == -1 else key)]
-            got = self.pairs[key] = self.merged("".join(names)) == names
+            if self.held >= CACHED_PAIRS:
+                for known in self.pairs.values():  # emptied in place, as a search may hold one of them
+                    known.clear()
+                self.held = 0
+            names = [self.text[t] if t >= 0 else chr(-t - 2) for t in ((token,) if last == -1 else (last, token))]
+            got = self.pairs[last][token] = self.merged("".join(names)) == names
+            self.held += 1
         return got
 
     def arcs(self, unit: str, i: int) -> list[tuple[int, int, float]]:
         """(end, token, weight) of the arcs that start at i, shorter first: pieces, and the byte machine's for a character that is none."""
-        node, out, n = self.trie, [], len(unit)
-        j = i
-        while j < n and (node := node.get(unit[j])) is not None:
-            j += 1
-            if "" in node:
-                out.append((j, *node[""]))
+        nodes, out = self.trie, []
+        for j, c in enumerate(unit[i : i + self.longest], i + 1):
+            if c not in nodes:
+                break
+            nodes, token, weight = nodes[c]
+            if token >= 0:
+                out.append((j, token, weight))
         if not out or out[0][0] != i + 1:
             out.insert(0, (i + 1, -ord(unit[i]) - 2, self.penalty))
         return out
 
     def least(self, unit: str) -> tuple[list[int], float]:
         """The least path through the composition and its weight: best[i] is (weight, start, token) of the one to position i."""
-        n, pairs, bpe = len(unit), self.pairs, self.bpe
+        n, pairs, bpe, root, longest = len(unit), self.pairs, self.bpe, self.trie, self.longest
         best: list = [None] * (n + 1)
         best[0] = (0.0, 0, -1)
         for i in range(n):
@@ -161,18 +167,32 @@ class Transducer:
             if at is None:  # no accepted path ends here
                 continue
             so_far, _, last = at
-            for j, token, weight in self.arcs(unit, i):
-                old = best[j]
-                total = so_far + weight
-                if old is not None and old[0] <= total:
+            # the arcs that start here, as arcs() lists them, without making the list
+            nodes, j, single = root, i, False
+            follow = pairs[last] if bpe else None
+            for c in unit[i : i + longest]:
+                arc = nodes.get(c)
+                if arc is None:
+                    break
+                j += 1
+                nodes, token, weight = arc
+                if token < 0:
                     continue
-                if bpe:
-                    ok = pairs.get((last, token))
-                    if ok is None:
-                        ok = self.follows(last, token)
-                    if not ok:
-                        continue
-                best[j] = (total, i, token)
+                if j == i + 1:
+                    single = True
+                old = best[j]
+                if old is None or so_far + weight < old[0]:
+                    if bpe:
+                        ok = follow.get(token)
+                        if ok is None:
+                            ok = self.follows(last, token)
+                        if not ok:
+                            continue
+                    best[j] = (so_far + weight, i, token)
+            if not single:
+                token, weight, old = -ord(unit[i]) - 2, so_far + self.penalty, best[i + 1]
+                if (old is None or weight < old[0]) and (not bpe or self.follows(last, token)):
+                    best[i + 1] = (weight, i, token)
         tokens, i = [], n
         while i:
             tokens.append(best[i][2])
