@@ -62,3 +62,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, ro
     picked = marks.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(marks.where("y = 0").orderBy(order, "doc_id").limit(rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(picked), "doc_id")
     return texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", F.col("t.text").alias("text"))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage: Spark then deletes the shuffle files of finished jobs, which otherwise stay until it happens to."""
+    spark.sparkContext._jvm.System.gc()

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, keyed, named, table, written
+from .common import drop_written, keyed, named, release_shuffles, table, written
 
 BUCKETS = 1 << 19
 NUM, DEN = 4, 5  # the least similarity, as a fraction
@@ -156,6 +156,7 @@ def _place(pos: str, bits: int) -> list[Column]:
 def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
     """pos, other, led, same: whether the words of the two lines match. Only the lines named are split into words again, each once."""
     pairs = written(pairs, "line-dedup-pairs")
+    release_shuffles(docs.sparkSession)
     wanted = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
     owners = wanted.select("pos", *_place("pos", bits)).groupBy("_row").agg(F.collect_list(F.struct("line_no", "pos")).alias("l"))
     found = docs.join(_few(owners, 2 * pairs.count()), "_row").select("l", F.split("text", "\n").alias("t"))
@@ -165,6 +166,7 @@ def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
     same = F.size(F.array_intersect("words", "words2")) * (NUM + DEN) >= NUM * (F.size("words") + F.size("words2"))
     checked = written(both.select("pos", "other", "led", same.alias("same")), "line-dedup-checked")
     drop_written(pairs, text)
+    release_shuffles(docs.sparkSession)
     return checked
 
 
@@ -174,6 +176,7 @@ def _gone(rows: DataFrame) -> DataFrame:
     each = written(lines(docs, rarity(docs)), "line-dedup-lines")
     found, bits = packed(each)
     kinds = written(classes(found), "line-dedup-classes")
+    release_shuffles(rows.sparkSession)
     checked = _verified(candidates(kinds), bits, docs)
     matched = written(checked.where("same").select("pos").distinct(), "line-dedup-matched")
     # only what was paired with a word's first class has not been searched in full
