@@ -54,3 +54,27 @@ def test_stage_finds_edited_copies_beyond_four_bits(spark, make_docs):
     assert 5 * len(a & b) >= 4 * len(a | b)
     got = corpus_pipeline.near_duplicate_stage(spark, make_docs([(4, text), (9, copy), (7, "quite other words stand here now")]), "")
     assert sorted(r.doc_id for r in got.collect()) == [4, 7]
+
+
+def test_stage_links_by_fingerprints_first_and_verifies_them(spark, make_docs, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(RNG.choices(words, k=60))
+    tails = [" ".join(RNG.choices(words, k=40)) for _ in range(2)]
+    same_print = [" ".join([passage] * 400 + [t]) for t in tails]  # alike by fingerprint only, as repeated shingles count there
+    text = " ".join(RNG.choices(words, k=400))
+    near = next(c for c in (edited(text, 1) for _ in range(1000)) if bin(simhash.fingerprint(text, 5) ^ simhash.fingerprint(c, 5)).count("1") <= 4)
+    far = next(c for c in (edited(text, 4) for _ in range(1000)) if bin(simhash.fingerprint(text, 5) ^ simhash.fingerprint(c, 5)).count("1") > 4)
+    assert bin(simhash.fingerprint(same_print[0], 5) ^ simhash.fingerprint(same_print[1], 5)).count("1") <= 4
+    rows = spark.createDataFrame(list(enumerate([*same_print, text, near, far])), "_row long, text string")
+    found, close = [], shingle_join.close
+
+    def kept(*args):
+        found.append({tuple(r) for r in close(*args).collect()})
+        return close(*args)
+
+    monkeypatch.setattr(shingle_join, "close", kept)
+    got = {r["_row"]: r.component for r in shingle_join.near_duplicates(rows).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2}
+    docs = make_docs([(r["_row"], r.text) for r in rows.collect()])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 1, 2]
+    assert len(found) == 2 and all((3, 2) in x and (1, 0) not in x for x in found)
