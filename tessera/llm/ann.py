@@ -10,9 +10,11 @@ vectors and their true neighbours in the whole table (one pass without a shuffle
 
 Equal vectors are one class with its smallest K + 1 ids, all that can ever be
 among K nearest, so a vector repeated a million times is one row of a bucket.
-Buckets are dealt in groups of about BLOCK classes (a larger bucket is cut into several pieces); a query goes
-to a group once, with the names of the buckets it visits there, and is compared with
-the vectors of these only. A query that finds fewer than K + 1 rows is run against all vectors of its length.
+The first projections of a table name a group of neighbouring buckets, so many of them that a group holds about BLOCK classes (a
+larger group is cut into several pieces). Probes are made for these projections only: their sum is a part of
+each bucket's, so no bucket to visit lies in a group that they leave out. A query goes to such a group once; there
+the buckets that exist are compared with the sum, and the query with the vectors of those within it. Buckets that
+hold nothing are never named. A query that finds fewer than K + 1 rows is run against all vectors of its length.
 """
 
 from __future__ import annotations
@@ -31,19 +33,21 @@ K = 5
 TABLES = 4
 HASHES_PER_BIT = 0.5  # projections of a table for each binary digit of the number of rows
 SAMPLE_QUERIES, TARGET = 300, 0.94  # vectors whose neighbours among all are sought to fit by
-PROBES = 20_000  # of a query in a table at most, a bound on what it sends; the fit stays far below it
 BLOCK = 2048
 MERGE = 100_000
+QUERIES_AT_ONCE = 64  # whose buckets are told in one step
 
 
-def probes(place: np.ndarray, most: float, count: int = PROBES) -> np.ndarray:
+def probes(place: np.ndarray, most: float) -> np.ndarray:
     """Perturbations (rows of -1, 0, 1) in the order of their estimated success, the query's own cell first: those whose squared distances to borders add up to most or less. place is the position within the cell, 0 to 1."""
     k = len(place)
+    if not k:
+        return np.zeros((1, 0), np.int64)
     gap = np.concatenate([place, 1 - place]) ** 2
     order = np.argsort(gap, kind="stable")
     z, dim, step = gap[order].tolist(), (order % k).tolist(), np.where(order < k, -1, 1).tolist()
     moves, heap = [()], [(z[0], (0,))]
-    while len(moves) < count and heap and heap[0][0] <= most:
+    while heap and heap[0][0] <= most:
         score, chosen = heapq.heappop(heap)
         if len({dim[i] for i in chosen}) == len(chosen):
             moves.append(chosen)
@@ -58,6 +62,11 @@ def probes(place: np.ndarray, most: float, count: int = PROBES) -> np.ndarray:
     return out
 
 
+def _steps(inside: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The squared distance to the border that a move of one cell crosses; moves of more than one are not made."""
+    return np.where(np.abs(move) <= 1, np.where(move < 0, inside, 1 - inside) ** 2 * (move != 0), np.inf)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -69,6 +78,7 @@ class Hasher:
         self.shift = rng.random((tables, hashes))
         self.mix = rng.integers(1, 1 << 62, hashes, dtype=np.int64) | 1
         self.most = 1.0
+        self.lead = 0  # projections that name a group
 
     def places(self, unit: np.ndarray, part: int) -> np.ndarray:
         return unit @ self.axes[part] + self.shift[part]
@@ -78,9 +88,16 @@ class Hasher:
         with np.errstate(over="ignore"):
             return (cells.astype(np.int64) * self.mix).sum(axis=-1)
 
+    def group(self, cells: np.ndarray) -> np.ndarray:
+        """The same for the projections that name a group."""
+        with np.errstate(over="ignore"):
+            return (cells[..., : self.lead].astype(np.int64) * self.mix[: self.lead]).sum(axis=-1)
+
     def visits(self, place: np.ndarray) -> np.ndarray:
+        """The groups that may hold a bucket to visit."""
+        place = place[: self.lead]
         cell = np.floor(place)
-        return self.bucket(cell.astype(np.int64) + probes(place - cell, self.most))
+        return np.unique(self.group(cell.astype(np.int64) + probes(place - cell, self.most + 1e-9)))
 
 
 def fitted(queries: np.ndarray, near: np.ndarray, rows: int) -> Hasher:
@@ -92,13 +109,16 @@ def fitted(queries: np.ndarray, near: np.ndarray, rows: int) -> Hasher:
     gap = float(np.median(np.linalg.norm(x - y, axis=1)))
     hasher = Hasher(x.shape[1], 1.4 * max(gap, 1e-3), hashes)
     cost = np.full(len(x), np.inf)  # the least sum at which a table's probes reach each neighbour
+    shares = []  # of a cell that a vector is in, on average
     for part in range(TABLES):
         place = hasher.places(x, part)
-        inside, move = place - np.floor(place), np.floor(hasher.places(y, part)) - np.floor(place)
-        steps = np.where(move < 0, inside, 1 - inside) ** 2 * (move != 0)
-        cost = np.minimum(cost, np.where((np.abs(move) <= 1).all(axis=1), steps.sum(axis=1), np.inf))
+        cell = np.floor(place)
+        cost = np.minimum(cost, _steps(place - cell, np.floor(hasher.places(y, part)) - cell).sum(axis=1))
+        shares += [((np.unique(c, return_counts=True)[1] / len(c)) ** 2).sum() for c in cell.T]
     finite = cost[np.isfinite(cost)]
     hasher.most = float(min(np.quantile(cost, TARGET, method="higher"), finite.max(initial=0))) + 1e-9
+    share = min(float(np.mean(shares)), 0.9)
+    hasher.lead = min(hashes, max(0, int(np.log(rows / BLOCK) / -np.log(share))))
     return hasher
 
 
@@ -142,7 +162,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _hashed(classes: DataFrame, hasher: Hasher, queries: bool) -> DataFrame:
-    """part, bucket, cid: a row for each table (queries: for each probe)."""
+    """part, grp, cid: a row for each table, with the bucket's cells (queries: for each group that may hold a bucket to visit)."""
     shared = classes.sparkSession.sparkContext.broadcast(hasher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +174,19 @@ def _hashed(classes: DataFrame, hasher: Hasher, queries: bool) -> DataFrame:
             for part in range(len(h.axes)):
                 places = h.places(unit, part)
                 if queries:
-                    each = [np.unique(h.visits(p)) for p in places]
-                    owner, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
+                    each = [h.visits(p) for p in places]
+                    owner, grp = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
+                else:
+                    cells = np.floor(places).astype(np.int32)
+                    owner, grp = np.arange(len(places)), h.group(cells)
+                columns = [pa.array(np.full(len(owner), part, np.int32)), pa.array(grp), b.column("cid").take(pa.array(owner))]
+                if queries:
+                    yield pa.record_batch(columns, ["part", "grp", "cid"])
                 else:
-                    owner, bucket = np.arange(len(places)), h.bucket(np.floor(places))
-                yield pa.record_batch([pa.array(np.full(len(owner), part, np.int32)), pa.array(bucket), b.column("cid").take(pa.array(owner))], ["part", "bucket", "cid"])
+                    ends = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
+                    yield pa.record_batch([*columns, pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))], ["part", "grp", "cid", "cell"])
 
-    return classes.select("cid", "v").mapInArrow(run, "part int, bucket long, cid long")
+    return classes.select("cid", "v").mapInArrow(run, "part int, grp long, cid long" + ("" if queries else ", cell array<int>"))
 
 
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,77 +210,88 @@ def _exact(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
 class _Group:
     """The vectors of a group, by bucket."""
 
-    def __init__(self, ids: list[np.ndarray], buckets: list[np.ndarray], vectors: list[np.ndarray]):
-        bucket = np.concatenate(buckets)
+    def __init__(self, ids: list[np.ndarray], cells: list[np.ndarray], vectors: list[np.ndarray]):
+        names, bucket = np.unique(np.concatenate(cells), axis=0, return_inverse=True)
+        bucket = bucket.ravel()
         order = np.argsort(bucket, kind="stable")
         self.ids, self.matrix = np.concatenate(ids)[order], np.concatenate(vectors)[order]
-        self.unit = _unit(self.matrix)
-        self.names, self.start = np.unique(bucket[order], return_index=True)
-        self.end = np.append(self.start[1:], len(bucket))
+        self.unit, self.sizes = _unit(self.matrix), np.bincount(bucket)
+        self.cells = [np.unique(c, return_inverse=True) for c in names.T]
+
+    def visited(self, places: np.ndarray, most: float) -> np.ndarray:
+        """For each query and bucket, whether a probe of it is within the sum."""
+        cost = np.zeros((len(places), len(self.sizes)))
+        for place, (cell, at) in zip(places.T, self.cells):
+            own = np.floor(place)
+            cost += _steps((place - own)[:, None], cell[None, :] - own[:, None])[:, at]
+        return cost <= most
 
     def best(self, v: np.ndarray, visited: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the K + 1 nearest in the buckets visited (None: in all), and of all that may tie with the last."""
-        rows = np.arange(len(self.ids))
-        if visited is not None:
-            at = np.searchsorted(self.names, visited)
-            at = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == visited)]
-            rows = np.concatenate([rows[s:e] for s, e in zip(self.start[at].tolist(), self.end[at].tolist())]) if len(at) else rows[:0]
+        rows = np.arange(len(self.ids)) if visited is None else np.flatnonzero(np.repeat(visited, self.sizes))
         if len(rows) > K + 1:
             score = self.unit[rows] @ (v / np.linalg.norm(v))
             rows = rows[score >= np.partition(score, len(rows) - K - 1)[len(rows) - K - 1] - 1e-9]
         return self.ids[rows], _exact(self.matrix[rows], v)
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by part, group and queries last: the group's vectors are held, queries stream past."""
-    current, ids, buckets, vectors, group = None, [], [], [], None
-    held, size = [], 0
-
-    def merged():
-        return _best(*(np.concatenate(x) for x in zip(*held)), K + 1)
-
-    def batch(q, c, s):
-        return pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], ["qid", "cid", "score"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        part, grp, query, cid = (b.column(n).to_numpy(zero_copy_only=False) for n in ("part", "grp", "query", "cid"))
-        v, visits = b.column("v"), b.column("visits")
-        new = (part[1:] != part[:-1]) | (grp[1:] != grp[:-1]) | (query[1:] != query[:-1])
-        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(part)]
-        for i, j in zip(cuts, cuts[1:]):
-            name = (part[i], grp[i])
-            if name != current:
-                current, ids, buckets, vectors, group = name, [], [], [], None
-            matrix = _matrix(v.slice(i, j - i))
-            if not query[i]:
-                ids.append(cid[i:j])
-                buckets.append(visits.slice(i, j - i).flatten().to_numpy())
-                vectors.append(matrix)
-                continue
-            if not ids:
+def _search(hasher):
+    """A map over rows sorted by part, group and piece, queries last: a piece's vectors are held, queries stream past. hasher is broadcast; in parts below 0 all vectors are visited."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, cells, vectors, group = None, [], [], [], None
+        held, size = [], 0
+
+        def merged():
+            return _best(*(np.concatenate(x) for x in zip(*held)), K + 1)
+
+        def batch(q, c, s):
+            return pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], ["qid", "cid", "score"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            group = group or _Group(ids, buckets, vectors)
-            for k in range(i, j):
-                own = visits[k].values
-                found, score = group.best(matrix[k - i], None if own is None else own.to_numpy())
-                held.append((np.full(len(found), cid[k]), found, score))
-                size += len(found)
-                if size > MERGE:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > MERGE // 2:  # many queries: what is merged goes out, so memory stays bounded
-                        yield batch(*held[0])
-                        held, size = [], 0
-    if held:
-        yield batch(*merged())
-
-
-def _run(data: DataFrame, queries: DataFrame) -> DataFrame:
-    """part, grp, cid, visits, v of both: of data, visits names its bucket."""
-    both = data.withColumn("query", F.lit(False)).unionByName(queries.withColumn("query", F.lit(True)))
-    return both.select("part", "grp", "query", "cid", "visits", "v").repartition("part", "grp").sortWithinPartitions("part", "grp", "query").mapInArrow(_search, "qid long, cid long, score double")
+            part, grp, piece, query, cid = (b.column(n).to_numpy(zero_copy_only=False) for n in ("part", "grp", "piece", "query", "cid"))
+            v, cell = b.column("v"), b.column("cell")
+            new = (part[1:] != part[:-1]) | (grp[1:] != grp[:-1]) | (piece[1:] != piece[:-1]) | (query[1:] != query[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(part)]
+            for i, j in zip(cuts, cuts[1:]):
+                name = (part[i], grp[i], piece[i])
+                if name != current:
+                    current, ids, cells, vectors, group = name, [], [], [], None
+                matrix = _matrix(v.slice(i, j - i))
+                if not query[i]:
+                    ids.append(cid[i:j])
+                    cells.append(_matrix(cell.slice(i, j - i)))
+                    vectors.append(matrix)
+                    continue
+                if not ids:
+                    continue
+                group = group or _Group(ids, cells, vectors)
+                for k in range(i, j, QUERIES_AT_ONCE):
+                    some = matrix[k - i : k - i + QUERIES_AT_ONCE]
+                    visited = [None] * len(some) if part[i] < 0 else group.visited(hasher.value.places(_unit(some), part[i]), hasher.value.most)
+                    for own, x, seen in zip(cid[k:].tolist(), some, visited):
+                        found, score = group.best(x, seen)
+                        held.append((np.full(len(found), own), found, score))
+                        size += len(found)
+                        if size > MERGE:
+                            held = [merged()]
+                            size = len(held[0][0])
+                            if size > MERGE // 2:  # many queries: what is merged goes out, so memory stays bounded
+                                yield batch(*held[0])
+                                held, size = [], 0
+        if held:
+            yield batch(*merged())
+
+    return run
+
+
+def _run(data: DataFrame, queries: DataFrame, hasher) -> DataFrame:
+    """part, grp, piece, cid, v of both; data has its cells too."""
+    both = data.withColumn("query", F.lit(False)).unionByName(queries.withColumn("cell", F.lit(None).cast("array<int>")).withColumn("query", F.lit(True)))
+    dealt = both.select("part", "grp", "piece", "query", "cid", "cell", "v").repartition("part", "grp", "piece").sortWithinPartitions("part", "grp", "piece", "query")
+    return dealt.mapInArrow(_search(hasher), "qid long, cid long, score double")
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -284,25 +321,24 @@ def nearest(vectors: DataFrame, every: int = 50) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     common = classes.where(F.size("v") == lengths.n)
     hasher = fitted(*sampled(common), lengths.c)
-    groups = -(-lengths.c // BLOCK)
     hashed = written(_hashed(common, hasher, False), "ann-buckets")
-    # all buckets with their number of pieces; a probe of an empty bucket ends here
-    sizes = hashed.groupBy("part", "bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("pieces"))
-    grp = F.pmod(F.xxhash64("bucket", "piece"), F.lit(groups)).cast("int").alias("grp")
-    dealt = hashed.join(sizes.where("pieces > 1"), ["part", "bucket"], "left").withColumn("piece", F.pmod(F.xxhash64("cid"), F.coalesce("pieces", F.lit(1))).cast("int"))
-    data = dealt.select("part", grp, "cid", F.array("bucket").alias("visits")).join(common.select("cid", "v"), "cid")
+    # all groups with their number of pieces; a probe of an empty group ends here
+    sizes = hashed.groupBy("part", "grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("pieces"))
+    dealt = hashed.join(sizes, ["part", "grp"]).withColumn("piece", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int"))
+    data = dealt.select("part", "grp", "piece", "cid", "cell").join(common.select("cid", "v"), "cid")
     wanted = common.join(asked.select("cid").distinct(), "cid").select("cid", "v")
-    visited = _hashed(wanted, hasher, True).join(sizes, ["part", "bucket"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    sent = visited.select("cid", "part", "bucket", grp).groupBy("cid", "part", "grp").agg(F.collect_set("bucket").alias("visits")).join(wanted, "cid")
-    found = written(_ranked(_run(data, sent), classes), "ann-found")
+    sent = _hashed(wanted, hasher, True).join(sizes, ["part", "grp"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sent = sent.select("part", "grp", "piece", "cid").join(wanted, "cid")
+    shared = rows.sparkSession.sparkContext.broadcast(hasher)
+    found = written(_ranked(_run(data, sent, shared), classes), "ann-found")
     short = asked.select("cid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("c")).where(F.col("c") > K), F.col("cid") == F.col("qid"), "left_anti")
     short = written(classes.join(short, "cid").select("cid", "v"), "ann-short")
     if not short.isEmpty():
         blocks = -(-classes.count() // BLOCK)
-        part, none = (-F.size("v")).alias("part"), F.lit(None).cast("array<long>").alias("visits")
-        whole = classes.select(part, F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("grp"), "cid", F.array(F.lit(0).cast("long")).alias("visits"), "v")
-        ask = short.select(part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("grp"), "cid", none, "v")
-        found = found.join(short.select(F.col("cid").alias("qid")), "qid", "left_anti").unionByName(_ranked(_run(whole, ask), classes))
+        part, grp = (-F.size("v")).alias("part"), F.lit(0).cast("long").alias("grp")
+        whole = classes.select(part, grp, F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("piece"), "cid", F.array(F.lit(0)).alias("cell"), "v")
+        ask = short.select(part, grp, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("piece"), "cid", "v")
+        found = found.join(short.select(F.col("cid").alias("qid")), "qid", "left_anti").unionByName(_ranked(_run(whole, ask, shared), classes))
     # a query row leaves out itself: once, should its id be repeated
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid"), F.monotonically_increasing_id().alias("row")).join(found, "qid")
     own = F.row_number().over(Window.partitionBy("row", "vec_id").orderBy(F.desc("score")))

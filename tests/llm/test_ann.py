@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import ann
 
@@ -87,3 +88,42 @@ def test_larger_tables_have_more_hashes_and_smaller_buckets():
         h = ann.fitted(sample, sample[::-1], rows)
         sizes.append(len(np.unique(h.bucket(np.floor(h.places(ann._unit(sample), 0))))))
     assert sizes[0] < sizes[1] < sizes[2]
+
+@pytest.mark.parametrize("lead", [0, 1, 3, 8])
+def test_groups_and_their_buckets_are_all_that_full_probes_reach(lead):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 16))
+    h = ann.Hasher(16, 1.5, 8)
+    h.lead, h.most = lead, 0.6
+    places = h.places(ann._unit(v), 1)
+    cells = np.floor(places).astype(np.int32)
+    grp = h.group(cells)
+    for q in range(0, 3000, 300):
+        own = np.floor(places[q]).astype(np.int64)
+        want = set(np.flatnonzero(np.isin(h.bucket(cells), h.bucket(own + ann.probes(places[q] - own, h.most)))).tolist())
+        got = set()
+        for g in h.visits(places[q]):
+            rows = np.flatnonzero(grp == g)
+            if len(rows):
+                group = ann._Group([rows], [cells[rows]], [v[rows]])
+                got |= set(group.ids[np.repeat(group.visited(places[q : q + 1], h.most)[0], group.sizes)].tolist())
+        assert got == want and q in got
+
+
+def test_queries_are_sent_to_groups_not_to_buckets(spark, monkeypatch):
+    sent, hashed = [], ann._hashed
+
+    def counted(classes, hasher, queries):
+        out = hashed(classes, hasher, queries)
+        if queries:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "_hashed", counted)
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(8000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = result(ann.nearest(df))
+    want = brute(np.arange(8000), v)
+    assert sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert len(sent) == 1 and 160 * ann.TABLES <= sent[0] <= 160 * ann.TABLES * 9
