@@ -52,7 +52,8 @@ def _bits(value: Column, mask: int) -> Column:
 
 def rarity(docs: DataFrame) -> str:
     """The logarithm of each hash bucket's word count over all documents, as a list of BUCKETS numbers."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("w"))
+    # two splits at one character each, which take no regular expression
+    words = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
     counts = words.groupBy(_bits(F.xxhash64("w"), BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("c"))
     found = {r.b: r.q for r in counts.select("b", F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).alias("q")).collect()}
     return ",".join(str(found.get(b, 0)) for b in range(BUCKETS))
@@ -71,7 +72,8 @@ def lines(docs: DataFrame, counts: str) -> DataFrame:
         return F.call_function("shiftleft", number.cast("long"), F.lit(by))
 
     def ordered(h: Column) -> Column:
-        return shifted(F.get(ranks, _bits(h, BUCKETS - 1).cast("int")), 56).bitwiseOR(_bits(h, _HASH))
+        # never null, so that Spark sorts the keys as primitive longs
+        return shifted(F.coalesce(F.get(ranks, _bits(h, BUCKETS - 1).cast("int")), F.lit(0)), 56).bitwiseOR(_bits(h, _HASH))
 
     # each word is hashed once; what is done for each word of all lines is interpreted by Spark, so there is little of it
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))

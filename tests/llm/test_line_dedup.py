@@ -99,3 +99,14 @@ def test_one_word_in_every_line(make_docs):
     rng = random.Random(12)
     rows = [(i, "\n".join("common " + " ".join(rng.choices(VOCABULARY[:8], k=rng.randint(0, 9))) for _ in range(4))) for i in range(150)]
     assert {(r.doc_id, r.line_no) for r in ld.duplicates(make_docs(rows)).collect()} == brute(rows)
+
+
+def test_keys_are_primitive_and_words_are_split_without_a_regular_expression(make_docs, rows, monkeypatch):
+    patterns, split = [], ld.F.split
+    monkeypatch.setattr(ld.F, "split", lambda text, pattern, *rest: patterns.append(pattern) or split(text, pattern, *rest))
+    docs = make_docs(rows).withColumnRenamed("doc_id", "_row")
+    counts = ld.rarity(docs)
+    assert set(patterns) == {"\n", " "}
+    assert not ld.lines(docs, counts).schema["prefix"].dataType.containsNull
+    words = [w for _, t in rows for line in t.lower().split("\n") for w in line.split(" ")]
+    assert sum(q != "0" for q in counts.split(",")) >= 0.95 * len(set(words))
