@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, keyed, named, release_shuffles, table, written
 
-BUCKETS = 1 << 19
+BUCKETS, SLICES = 1 << 19, 128
 NUM, DEN = 4, 5  # the least similarity, as a fraction
 BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
 WIDE = 64
@@ -55,8 +55,14 @@ def rarity(docs: DataFrame) -> str:
     # two splits at one character each, which take no regular expression
     words = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
     counts = words.groupBy(_bits(F.xxhash64("w"), BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("c"))
-    found = {r.b: r.q for r in counts.select("b", F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).alias("q")).collect()}
-    return ",".join(str(found.get(b, 0)) for b in range(BUCKETS))
+    # a bucket and its number in one integer, and few rows of many: the driver's Python never holds an object for each bucket
+    each = counts.select("b", (F.col("b") * 128 + F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).cast("int")).cast("string").alias("q"))
+    ranks = bytearray(BUCKETS)
+    for r in each.groupBy((F.col("b") % SLICES).alias("slice")).agg(F.array_join(F.collect_list("q"), ",").alias("q")).toLocalIterator():
+        for q in map(int, r.q.split(",")):
+            ranks[q >> 7] = q & 127
+    names = [str(q) for q in range(128)]
+    return ",".join(map(names.__getitem__, ranks))
 
 
 def _each(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from .common import labelled, table
 from .toxicity import held_out
 
 TRAIN_ROWS = 8000  # labelled rows of each label at most, the first by a hash of their id
-PAIRS = 200_000
+PAIRS, BLOCK = 200_000, 10_000
 CUT = 0.7
 
 _GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!", "?", "\n", "\"'", "-_", "/\\:", "<>{}[]()=;", "|", "#$%&*@^~+`")
@@ -80,12 +80,15 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11, quantile: float | None = N
     z = np.clip((x - mean) / spread, -8, 8)
     pairs = min(PAIRS, 40 * len(z))
     winner, loser = rng.choice(good, pairs), rng.choice(bad, pairs)
-    diff = z[winner] - z[loser]
     w, ridge = np.zeros(FEATURES), 1e-3
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-        gradient = diff.T @ (p - 1) / pairs + ridge * w
-        step = np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / pairs + ridge * np.eye(FEATURES), gradient)
+        gradient, curve = ridge * w, ridge * np.eye(FEATURES)
+        for i in range(0, pairs, BLOCK):  # all differences at once would be 200 MB of the driver's memory
+            diff = z[winner[i : i + BLOCK]] - z[loser[i : i + BLOCK]]
+            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+            gradient += diff.T @ (p - 1) / pairs
+            curve += (diff * (p * (1 - p))[:, None]).T @ diff / pairs
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break

@@ -110,3 +110,15 @@ def test_keys_are_primitive_and_words_are_split_without_a_regular_expression(mak
     assert not ld.lines(docs, counts).schema["prefix"].dataType.containsNull
     words = [w for _, t in rows for line in t.lower().split("\n") for w in line.split(" ")]
     assert sum(q != "0" for q in counts.split(",")) >= 0.95 * len(set(words))
+
+
+def test_word_counts_reach_the_driver_in_few_rows(make_docs, monkeypatch):
+    docs = make_docs([(i, "\n".join(f"A{i} b{j} the" for j in range(100))) for i in range(60)] + [(99, None), (98, "")])
+    got, of_frame = [], type(docs)
+    collect, each = of_frame.collect, of_frame.toLocalIterator
+    monkeypatch.setattr(of_frame, "collect", lambda self: got.extend(rows := collect(self)) or rows)
+    monkeypatch.setattr(of_frame, "toLocalIterator", lambda self, *a: (got.append(r) or r for r in each(self, *a)))
+    ranks = ld.rarity(docs).split(",")
+    assert len(got) <= 128 and len(ranks) == ld.BUCKETS
+    # "a1" to "a60" stand in 100 lines, "b1" to "b100" in 60, "the" in all
+    assert max(map(int, ranks)) == 37 and {"17", "19"} <= set(ranks) and sum(q != "0" for q in ranks) >= 155

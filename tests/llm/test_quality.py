@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -83,3 +85,20 @@ def test_weights_are_those_of_least_loss():
     loss = lambda w: np.log1p(np.exp(-diff @ w)).mean() + 5e-4 * w @ w
     best = loss(model["weights"])
     assert all(loss(model["weights"] + 0.01 * rng.normal(size=q.FEATURES)) > best for _ in range(50))
+
+
+def test_training_keeps_few_pairs_in_memory():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2 * q.TRAIN_ROWS, q.FEATURES))
+    y = (x[:, 3] + x[:, 9] + rng.normal(size=len(x)) > 0).astype(int)
+    tracemalloc.start()
+    model = q.fit(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 < 8 * q.FEATURES * q.PAIRS
+    # the weights of all pairs taken at once
+    z = np.clip((x - model["mean"]) / model["spread"], -8, 8)
+    again = np.random.default_rng(11)
+    diff = z[again.choice(np.flatnonzero(y == 1), q.PAIRS)] - z[again.choice(np.flatnonzero(y == 0), q.PAIRS)]
+    gradient = diff.T @ (1 / (1 + np.exp(-diff @ model["weights"])) - 1) / q.PAIRS + 1e-3 * model["weights"]
+    assert np.abs(gradient).max() < 1e-6
