@@ -17,11 +17,11 @@ always stay.
   words or more carry 128 such bits, as 64 are soon even between long lines.
 * Lines are dealt by word and size band, so a frequent word's lines meet only those of
   their size, and no filter sees what the length excludes anyway.
-* In a word's group, a class that passes these filters against the group's first
-  class is paired with that one only. Of a thousand variants of a line, each is
-  thus paired with the first, not with a thousand others. A class whose pairs all
-  fail verification is then searched again without this shortcut.
-* What is dealt by word is narrow (word, line, size and place, parity), once; the
+* First, a class that passes these filters against the first class of a word's
+  group is paired with that one only. Of a thousand variants of a line, each is
+  thus paired with the first, not with a thousand others. All classes for which
+  no such pair is verified are then searched in full, against all.
+* What is dealt by word is narrow (word, line, size and place, parity); the
   second half of long lines' parities is asked for by the pairs that are left.
 * Candidates are verified on the words themselves.
 * Tables are deleted as soon as nothing reads them any more.
@@ -39,7 +39,9 @@ NUM, DEN = 4, 5  # the least similarity, as a fraction
 BROADCAST_PAIRS = 1_000_000  # candidate pairs up to so many (16 bytes each) are broadcast to the lines, more are joined by shuffles
 WIDE = 64
 BAND = 3.0  # lines are dealt by word and by size, in bands of this ratio
+PLACES = 8  # ranks in a long
 _HASH = (1 << 56) - 1
+_DONE = 1 << 31
 
 
 def _words(line: Column) -> Column:
@@ -65,21 +67,27 @@ def rarity(docs: DataFrame) -> str:
     return ",".join(map(names.__getitem__, ranks))
 
 
+def _packed_ranks(counts: str) -> str:
+    """What rarity() returns as longs of PLACES bytes: bucket b is byte b // (BUCKETS // PLACES) of long b % (BUCKETS // PLACES)."""
+    ranks = list(map(int, counts.split(",")))
+    size = BUCKETS // PLACES
+    return ",".join(str(int.from_bytes(bytes(ranks[b::size]), "little", signed=True)) for b in range(size))
+
+
 def _each(docs: DataFrame) -> DataFrame:
     return docs.select("_row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def lines(docs: DataFrame, counts: str) -> DataFrame:
     """A row for each line with words: _row, line_no, n, its class (h1, h2), parity, half, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
-    # the folded literal is a constant of each task; a look-up is an array access
-    ranks = F.split(F.lit(counts), ",").cast("array<int>")
-
-    def shifted(number: Column, by: int) -> Column:
-        return F.call_function("shiftleft", number.cast("long"), F.lit(by))
+    # the folded literal is a constant of each task; a look-up is an array access, and few longs stay in the cache
+    ranks, size = F.split(F.lit(_packed_ranks(counts)), ",").cast("array<bigint>"), BUCKETS // PLACES
 
     def ordered(h: Column) -> Column:
         # never null, so that Spark sorts the keys as primitive longs
-        return shifted(F.coalesce(F.get(ranks, _bits(h, BUCKETS - 1).cast("int")), F.lit(0)), 56).bitwiseOR(_bits(h, _HASH))
+        packed = F.coalesce(F.get(ranks, _bits(h, size - 1).cast("int")), F.lit(0).cast("long"))
+        place = _bits(F.shiftright(h, size.bit_length() - 4), 8 * (PLACES - 1)).cast("int")  # in bits
+        return F.call_function("shiftleft", F.call_function("shiftright", packed, place), F.lit(56)).bitwiseOR(_bits(h, _HASH))
 
     # each word is hashed once; what is done for each word of all lines is interpreted by Spark, so there is little of it
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
@@ -114,43 +122,55 @@ def packed(found: DataFrame) -> tuple[DataFrame, int]:
     return found.withColumn("pos", F.shiftleft("_row", bits).bitwiseOR(F.col("line_no").cast("long"))), bits
 
 
-def classes(found: DataFrame) -> DataFrame:
-    """A row for each word set: its hashes, its number of lines and its first line's pos."""
-    return found.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "half", "prefix")))
+def repeats(found: DataFrame) -> DataFrame:
+    """h1, h2 and first (the first line's pos) of each word set that several lines have."""
+    return found.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", "first")
+
+
+def classes(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """A row for each word set: its first line's."""
+    return found.join(repeated, ["h1", "h2"], "left").where("first IS NULL OR pos = first").select("pos", "n", "parity", "half", "prefix")
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9).cast("long")
 
 
 def _entries(kinds: DataFrame) -> DataFrame:
-    """A narrow row for each word of a prefix, by word and size band: at holds n and the word's place (from 1) in the prefix.
+    """A narrow row for each word of a prefix, by word and size band, dealt by both: at holds n, whether the class is done and the word's place (from 1) in the prefix.
 
-    A line is in its own band and in the one below if a line that matches it may be there, so the length filter is part of the key.
+    kinds has the bands that a class is dealt to.
     """
-    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9).cast("long")
-    bands = F.sequence(band(F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}")), band(F.col("n")))
-    each = kinds.select("pos", "n", "parity", "half", "prefix", F.explode(bands).alias("band")).select("pos", "n", "parity", "half", "band", F.posexplode("prefix").alias("i", "word"))
-    each = each.select(F.shiftleft(F.col("word").cast("long"), 8).bitwiseOR(F.col("band")).alias("key"), "pos", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i") + F.lit(1).cast("long")).alias("at"), "parity", "half")
+    each = kinds.select("pos", "n", "parity", "half", "done", "prefix", F.explode("bands").alias("band")).select("pos", "n", "parity", "half", "done", "band", F.posexplode("prefix").alias("i", "word"))
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("done"), F.lit(_DONE)).otherwise(F.lit(0)).cast("long")).bitwiseOR(F.col("i") + F.lit(1).cast("long"))
+    each = each.select(F.shiftleft(F.col("word").cast("long"), 8).bitwiseOR(F.col("band")).alias("key"), "pos", at.alias("at"), "parity", "half")
     # with these conditions on both sides of the join no more are inferred for one of them, and both read one exchange
-    return each.where("key IS NOT NULL AND pos IS NOT NULL AND CAST(shiftright(at, 32) AS INT) IS NOT NULL AND parity IS NOT NULL")
-
+    each = each.where("key IS NOT NULL AND pos IS NOT NULL AND CAST(shiftright(at, 32) AS INT) IS NOT NULL AND parity IS NOT NULL").repartition("key")
+    at = F.col("at")
+    return each.select("key", "pos", F.shiftright(at, 32).cast("int").alias("n"), _bits(at, _DONE - 1).cast("int").alias("i"), (_bits(at, _DONE) != 0).alias("done"), "parity", "half")
 
-def _unpacked(entries: DataFrame) -> DataFrame:
-    return entries.select("key", "pos", F.shiftright("at", 32).cast("int").alias("n"), _bits(F.col("at"), (1 << 32) - 1).cast("int").alias("i"), "parity", "half")
 
+def leaders(kinds: DataFrame) -> DataFrame:
+    """pos, other: each class with a word's first class, where that passes. A shortcut only: the words are those that two matching sets of one size share one of, the band is the class's own."""
+    short = F.slice("prefix", F.lit(1), F.expr(f"n - (2 * {NUM} * n + {NUM + DEN - 1}) div {NUM + DEN} + 1"))
+    entries = _entries(kinds.withColumn("prefix", short).withColumn("bands", F.array(_band(F.col("n")))).withColumn("done", F.lit(False)))
+    # no order within a group: one sort column lets Spark sort by radix
+    led = entries.withColumn("l", F.min(F.struct("pos", "n", "i", "parity", "half")).over(Window.partitionBy("key")))
+    return led.where(f"l.pos < pos AND {_passes('l.', '')}").select("pos", F.col("l.pos").alias("other")).distinct()
 
-def _paired(later: DataFrame, entries: DataFrame) -> DataFrame:
-    """pos, other: later's entries with all earlier ones of their word that pass."""
-    both = later.alias("b").join(entries.alias("a"), F.col("a.key") == F.col("b.key"))
-    return both.where(f"a.pos < b.pos AND {_passes('a.', 'b.')}").select(F.col("b.pos").alias("pos"), F.col("a.pos").alias("other"))
 
+def candidates(kinds: DataFrame, matched: DataFrame) -> DataFrame:
+    """pos, other: each class that is not among the matched ones with all earlier classes that pass.
 
-def candidates(kinds: DataFrame) -> DataFrame:
-    """pos, other, led: each class with each word's first class if that passes (led), else with all that pass."""
-    entries = _unpacked(_entries(kinds).repartition("key"))
-    # no order within a group: one sort column lets Spark sort by radix
-    led = entries.withColumn("l", F.min(F.struct("pos", "n", "i", "parity", "half")).over(Window.partitionBy("key"))).where("l.pos < pos")
-    led = led.withColumn("leader", F.expr(f"CASE WHEN {_passes('l.', '')} THEN l.pos END"))
-    pairs = _paired(led.where("leader IS NULL").select("key", "pos", "n", "i", "parity", "half"), entries).withColumn("led", F.lit(0))
-    pairs = pairs.unionByName(led.where("leader IS NOT NULL").select("pos", F.col("leader").alias("other"), F.lit(1).alias("led")))
-    return pairs.groupBy("pos", "other").agg(F.max("led").alias("led"))
+    A line is in its own band and in the one below if a line that matches it may be there, so the length filter is part of the key.
+    """
+    bands = F.sequence(_band(F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}")), _band(F.col("n")))
+    known = kinds.join(matched.withColumn("done", F.lit(True)), "pos", "left")
+    entries = _entries(known.withColumn("done", F.coalesce("done", F.lit(False))).withColumn("bands", bands))
+    # the task's number keeps this condition above the exchange, so that both sides of the join read the same one
+    later = entries.withColumn("task", F.spark_partition_id()).where("NOT done AND task >= 0")
+    both = later.alias("b").join(entries.alias("a"), F.col("a.key") == F.col("b.key")).where(f"a.pos < b.pos AND {_passes('a.', 'b.')}")
+    return both.select(F.col("b.pos").alias("pos"), F.col("a.pos").alias("other")).distinct()
 
 
 def _few(rows: DataFrame, count: int) -> DataFrame:
@@ -162,7 +182,7 @@ def _place(pos: str, bits: int) -> list[Column]:
 
 
 def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
-    """pos, other, led, same: whether the words of the two lines match. Only the lines named are split into words again, each once."""
+    """pos, other, same: whether the words of the two lines match. Only the lines named are split into words again, each once."""
     pairs = written(pairs, "line-dedup-pairs")
     release_shuffles(docs.sparkSession)
     wanted = pairs.select("pos").unionByName(pairs.select(F.col("other").alias("pos"))).distinct()
@@ -170,9 +190,10 @@ def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
     found = docs.join(_few(owners, 2 * pairs.count()), "_row").select("l", F.split("text", "\n").alias("t"))
     found = found.select(F.explode(F.transform("l", lambda x: F.struct(x.pos.alias("pos"), F.get("t", x.line_no).alias("line")))).alias("x"))
     text = written(found.select("x.pos", _words(F.col("x.line")).alias("words")), "line-dedup-words")
-    both = pairs.join(text, "pos").join(text.toDF("other", "words2"), "other")
-    same = F.size(F.array_intersect("words", "words2")) * (NUM + DEN) >= NUM * (F.size("words") + F.size("words2"))
-    checked = written(both.select("pos", "other", "led", same.alias("same")), "line-dedup-checked")
+    # both with new names, so that both joins read one exchange
+    both = pairs.join(text.toDF("pos1", "words1"), F.col("pos") == F.col("pos1")).join(text.toDF("pos2", "words2"), F.col("other") == F.col("pos2"))
+    same = F.size(F.array_intersect("words1", "words2")) * (NUM + DEN) >= NUM * (F.size("words1") + F.size("words2"))
+    checked = written(both.select("pos", "other", same.alias("same")), "line-dedup-checked")
     drop_written(pairs, text)
     release_shuffles(docs.sparkSession)
     return checked
@@ -183,22 +204,18 @@ def _gone(rows: DataFrame) -> DataFrame:
     docs = rows.select("_row", "text").where("text is not null")
     each = written(lines(docs, rarity(docs)), "line-dedup-lines")
     found, bits = packed(each)
-    kinds = written(classes(found), "line-dedup-classes")
+    repeated = written(repeats(found), "line-dedup-repeated")
+    repeated = _few(repeated, repeated.count())
+    kinds = classes(found, repeated)
     release_shuffles(rows.sparkSession)
-    checked = _verified(candidates(kinds), bits, docs)
-    matched = written(checked.where("same").select("pos").distinct(), "line-dedup-matched")
-    # only what was paired with a word's first class has not been searched in full
-    failed = written(checked.where("led = 1").select("pos").distinct().join(matched, "pos", "left_anti"), "line-dedup-failed")
-    count = failed.count()
-    if count:
-        again = _unpacked(_entries(kinds.join(_few(failed, count), "pos")))
-        again = _paired(_few(again, 64 * count), _unpacked(_entries(kinds))).distinct().join(checked.select("pos", "other"), ["pos", "other"], "left_anti")
-        matched = matched.unionByName(_verified(again.withColumn("led", F.lit(0)), bits, docs).where("same").select("pos").distinct())
-    firsts = matched.select(*_place("pos", bits))
-    repeated = kinds.where("copies > 1").select("h1", "h2", F.col("pos").alias("first"))
-    copies = found.join(_few(repeated, repeated.count()), ["h1", "h2"]).where("pos > first").select("_row", "line_no")
+    led = _verified(leaders(kinds), bits, docs)
+    matched = written(led.where("same").select("pos").distinct(), "line-dedup-matched")
+    # only what was paired with a word's first class and matches it has been searched in full
+    checked = _verified(candidates(kinds, _few(matched, matched.count())), bits, docs)
+    firsts = matched.unionByName(checked.where("same").select("pos").distinct()).select(*_place("pos", bits))
+    copies = found.join(repeated, ["h1", "h2"]).where("pos > first").select("_row", "line_no")
     gone = written(firsts.unionByName(copies), "line-dedup-gone")
-    drop_written(each, kinds, checked, failed)
+    drop_written(each, repeated, led, matched, checked)
     return gone
 
 
