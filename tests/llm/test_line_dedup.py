@@ -122,3 +122,44 @@ def test_word_counts_reach_the_driver_in_few_rows(make_docs, monkeypatch):
     assert len(got) <= 128 and len(ranks) == ld.BUCKETS
     # "a1" to "a60" stand in 100 lines, "b1" to "b100" in 60, "the" in all
     assert max(map(int, ranks)) == 37 and {"17", "19"} <= set(ranks) and sum(q != "0" for q in ranks) >= 155
+
+
+def test_lines_are_written_once_and_sorted_no_more_often_than_joined(make_docs, rows, monkeypatch):
+    prefixes, plans, put = [], {}, ld.written
+
+    def spy(df, name):
+        out = put(df, name)
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        prefixes.extend([name] * ("prefix" in out.columns))
+        return out
+
+    monkeypatch.setattr(ld, "written", spy)
+    want = brute(rows)
+    assert {(r.doc_id, r.line_no) for r in ld.duplicates(make_docs(rows)).collect()} == want
+    # no second table of the lines' prefixes beside that of the lines
+    assert prefixes == ["line-dedup-lines"]
+    # the leaders' window is over their own words; the join of all words reads one exchange twice, without a window
+    first, second = plans["line-dedup-pairs"]
+    assert "Window" in first and "Join" not in first.split("Window")[0] and "Window" not in second
+
+
+def test_what_a_leader_matches_is_not_searched_again_and_what_fails_is(make_docs):
+    base = [f"b{i}" for i in range(20)]
+    # the second line is a copy of the first but for a word; the last shares the leader's words too, but matches only the third
+    lines = [base, base[:19] + ["x"], [f"c{i}" for i in range(12)] + base[:6], [f"c{i}" for i in range(12)] + base[:5]]
+    docs = make_docs([(i, " ".join(words)) for i, words in enumerate(lines)])
+    assert {(r.doc_id, r.line_no) for r in ld.duplicates(docs).collect()} == brute([(i, " ".join(w)) for i, w in enumerate(lines)]) == {(1, 0), (3, 0)}
+    rows = docs.withColumnRenamed("doc_id", "_row")
+    found, _ = ld.packed(ld.lines(rows, ld.rarity(rows)))
+    kinds = ld.classes(found, ld.repeats(found))
+    assert kinds.count() == 4
+    every = {(r.pos, r.other) for r in ld.candidates(kinds, kinds.select("pos").limit(0)).collect()}
+    assert {(2, 0), (6, 4)} <= every and {r.pos for r in ld.leaders(kinds).collect()} >= {2}
+    assert {(r.pos, r.other) for r in ld.candidates(kinds, kinds.select("pos").where("pos = 2")).collect()} == {p for p in every if p[0] != 2}
+
+
+def test_ranks_are_packed_by_bucket():
+    rng = random.Random(3)
+    ranks = [rng.randrange(127) for _ in range(ld.BUCKETS)]
+    longs, size = list(map(int, ld._packed_ranks(",".join(map(str, ranks))).split(","))), ld.BUCKETS // ld.PLACES
+    assert len(longs) == size and all((longs[b % size] >> 8 * (b // size)) & 255 == ranks[b] for b in range(0, ld.BUCKETS, 97))
