@@ -5,7 +5,7 @@ similarity of 4/5 or more match; a line goes if any earlier line (by document id
 then line number; rows that share an id or have none by their keys, see common.keyed) matches it, whether that one stays or not. Lines without words
 always stay.
 
-* Words are ordered by rarity: by their count over all documents, taken in a fixed
+* Words are ordered by rarity: by the lines of all documents that have them, counted in a fixed
   number of hash buckets so that what every task needs has a fixed size, then by
   hash. Any order gives the same result; a rarer-first one gives fewer candidates.
 * Equal word sets are one class; its first line stands for it. Only classes are
@@ -41,7 +41,7 @@ WIDE = 64
 BAND = 3.0  # lines are dealt by word and by size, in bands of this ratio
 PLACES = 8  # ranks in a long
 _HASH = (1 << 56) - 1
-_DONE = 1 << 31
+_DONE, _SHORT = 1 << 31, 1 << 30
 
 
 def _words(line: Column) -> Column:
@@ -52,11 +52,16 @@ def _bits(value: Column, mask: int) -> Column:
     return value.bitwiseAND(F.lit(mask))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """_row, line_no, hashes of each line with words: its distinct words, each split off and hashed once."""
+    hashes = F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))
+    return _each(docs).where(F.trim("line") != "").select("_row", "line_no", F.array_except(hashes, F.array(F.xxhash64(F.lit("")))).alias("hashes"))
+
+
 def rarity(docs: DataFrame) -> str:
-    """The logarithm of each hash bucket's word count over all documents, as a list of BUCKETS numbers."""
-    # two splits at one character each, which take no regular expression
-    words = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
-    counts = words.groupBy(_bits(F.xxhash64("w"), BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("c"))
+    """The logarithm of each hash bucket's count over all documents, as a list of BUCKETS numbers. A word counts once for each line. docs has texts, or is a table of hashed()."""
+    each = docs if "hashes" in docs.columns else hashed(docs.select(F.lit(0).alias("_row"), "text"))
+    counts = each.select(F.explode("hashes").alias("h")).groupBy(_bits(F.col("h"), BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("c"))
     # a bucket and its number in one integer, and few rows of many: the driver's Python never holds an object for each bucket
     each = counts.select("b", (F.col("b") * 128 + F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).cast("int")).cast("string").alias("q"))
     ranks = bytearray(BUCKETS)
@@ -79,27 +84,28 @@ def _each(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, counts: str) -> DataFrame:
-    """A row for each line with words: _row, line_no, n, its class (h1, h2), parity, half, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
-    # the folded literal is a constant of each task; a look-up is an array access, and few longs stay in the cache
-    ranks, size = F.split(F.lit(_packed_ranks(counts)), ",").cast("array<bigint>"), BUCKETS // PLACES
+    """A row for each line with words, from docs with texts or a table of hashed(): _row, line_no, n, its class (h1, h2), parity, half, prefix. Words are known by hashes here, those of the prefix by 31 bits; a collision only makes a candidate."""
+    # the folded literal is a constant of each task; Spark keeps one object for each small long, so a look-up touches the array only
+    ranks = F.split(F.lit(counts), ",").cast("array<bigint>")
 
     def ordered(h: Column) -> Column:
         # never null, so that Spark sorts the keys as primitive longs
-        packed = F.coalesce(F.get(ranks, _bits(h, size - 1).cast("int")), F.lit(0).cast("long"))
-        place = _bits(F.shiftright(h, size.bit_length() - 4), 8 * (PLACES - 1)).cast("int")  # in bits
-        return F.call_function("shiftleft", F.call_function("shiftright", packed, place), F.lit(56)).bitwiseOR(_bits(h, _HASH))
+        rank = F.get(ranks, _bits(h, BUCKETS - 1).cast("int"))
+        return F.coalesce(F.call_function("shiftleft", rank, F.lit(56)).bitwiseOR(_bits(h, _HASH)), F.lit(0).cast("long"))
 
-    # each word is hashed once; what is done for each word of all lines is interpreted by Spark, so there is little of it
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    each = _each(docs).where(F.trim("line") != "").select("_row", "line_no", F.sort_array(F.transform(hashes, ordered)).alias("keys")).withColumn("n", F.size("keys"))
+    # what a lambda does for each word of all lines is interpreted by Spark, and so is what its array is made by: there is little of it, the rest is compiled
+    each = docs if "hashes" in docs.columns else hashed(docs)
 
     def parity(bit) -> Column:
-        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", bit(k), _bits(k, 63).cast("int"))))
+        # a shift takes the low six bits of its second number
+        return F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", bit(h), F.hash(h))))
 
-    half = F.when(F.col("n") >= WIDE, parity(lambda k: _bits(F.shiftright(k, 6), 1)))
+    half = F.when(F.size("hashes") >= WIDE, parity(lambda h: _bits(h, 1)))
+    each = each.select("_row", "line_no", F.size("hashes").alias("n"), F.transform("hashes", ordered).alias("keys"), parity(lambda h: F.lit(1).cast("long")).alias("parity"), half.alias("half"))
+    each = each.withColumn("keys", F.sort_array("keys"))
     return each.select(
-        "_row", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), parity(lambda k: F.lit(1).cast("long")).alias("parity"), half.alias("half"),
-        F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: _bits(k, (1 << 31) - 1).cast("int")).alias("prefix"),
+        "_row", "line_no", "n", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), "parity", "half",
+        F.transform(F.slice("keys", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")), lambda k: F.hash(k)).alias("prefix"),
     )
 
 
@@ -136,41 +142,57 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9).cast("long")
 
 
+#: Two matching sets share one of the first so many words of the one that has no more words than the other.
+_LEAST = f"n - (2 * {NUM} * n + {NUM + DEN - 1}) div {NUM + DEN} + 1"
+
+
 def _entries(kinds: DataFrame) -> DataFrame:
-    """A narrow row for each word of a prefix, by word and size band, dealt by both: at holds n, whether the class is done and the word's place (from 1) in the prefix.
+    """A narrow row for each word of a prefix, by word and size band, dealt by both: at holds n, whether the class is done, whether the entry is
+    short (one of the _LEAST first words, in the class's own band) and the word's place (from 1) in the prefix.
 
     kinds has the bands that a class is dealt to.
     """
-    each = kinds.select("pos", "n", "parity", "half", "done", "prefix", F.explode("bands").alias("band")).select("pos", "n", "parity", "half", "done", "band", F.posexplode("prefix").alias("i", "word"))
-    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.when(F.col("done"), F.lit(_DONE)).otherwise(F.lit(0)).cast("long")).bitwiseOR(F.col("i") + F.lit(1).cast("long"))
+    each = kinds.select("pos", "n", "parity", "half", "done", "prefix", _band(F.col("n")).alias("own"), F.explode("bands").alias("band"))
+    each = each.select("pos", "n", "parity", "half", "done", "own", "band", F.posexplode("prefix").alias("i", "word"))
+    marks = F.when(F.col("done"), F.lit(_DONE)).otherwise(F.lit(0)).bitwiseOR(F.when(F.expr(f"band = own AND i < {_LEAST}"), F.lit(_SHORT)).otherwise(F.lit(0)))
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(marks.cast("long")).bitwiseOR(F.col("i") + F.lit(1).cast("long"))
     each = each.select(F.shiftleft(F.col("word").cast("long"), 8).bitwiseOR(F.col("band")).alias("key"), "pos", at.alias("at"), "parity", "half")
     # with these conditions on both sides of the join no more are inferred for one of them, and both read one exchange
     each = each.where("key IS NOT NULL AND pos IS NOT NULL AND CAST(shiftright(at, 32) AS INT) IS NOT NULL AND parity IS NOT NULL").repartition("key")
     at = F.col("at")
-    return each.select("key", "pos", F.shiftright(at, 32).cast("int").alias("n"), _bits(at, _DONE - 1).cast("int").alias("i"), (_bits(at, _DONE) != 0).alias("done"), "parity", "half")
+    return each.select("key", "pos", F.shiftright(at, 32).cast("int").alias("n"), _bits(at, _SHORT - 1).cast("int").alias("i"), (_bits(at, _DONE) != 0).alias("done"), (_bits(at, _SHORT) != 0).alias("short"), "parity", "half")
 
 
 def leaders(kinds: DataFrame) -> DataFrame:
     """pos, other: each class with a word's first class, where that passes. A shortcut only: the words are those that two matching sets of one size share one of, the band is the class's own."""
-    short = F.slice("prefix", F.lit(1), F.expr(f"n - (2 * {NUM} * n + {NUM + DEN - 1}) div {NUM + DEN} + 1"))
+    short = F.slice("prefix", F.lit(1), F.expr(_LEAST))
     entries = _entries(kinds.withColumn("prefix", short).withColumn("bands", F.array(_band(F.col("n")))).withColumn("done", F.lit(False)))
     # no order within a group: one sort column lets Spark sort by radix
     led = entries.withColumn("l", F.min(F.struct("pos", "n", "i", "parity", "half")).over(Window.partitionBy("key")))
     return led.where(f"l.pos < pos AND {_passes('l.', '')}").select("pos", F.col("l.pos").alias("other")).distinct()
 
 
-def candidates(kinds: DataFrame, matched: DataFrame) -> DataFrame:
-    """pos, other: each class that is not among the matched ones with all earlier classes that pass.
+def candidates(kinds: DataFrame, matched: DataFrame, few: bool = False) -> DataFrame:
+    """pos, other: each class that is not among the matched ones with all earlier classes that pass. few: whether the matched ones are few.
 
-    A line is in its own band and in the one below if a line that matches it may be there, so the length filter is part of the key.
+    A line is in its own band and in the one below if a line that matches it may be there, so the length filter is part of the key. Of two
+    that match, the one of fewer words (of as many, the earlier one) has a short entry for a word that both share, so only short entries are joined with all.
     """
     bands = F.sequence(_band(F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}")), _band(F.col("n")))
     known = kinds.join(matched.withColumn("done", F.lit(True)), "pos", "left")
-    entries = _entries(known.withColumn("done", F.coalesce("done", F.lit(False))).withColumn("bands", bands))
-    # the task's number keeps this condition above the exchange, so that both sides of the join read the same one
-    later = entries.withColumn("task", F.spark_partition_id()).where("NOT done AND task >= 0")
-    both = later.alias("b").join(entries.alias("a"), F.col("a.key") == F.col("b.key")).where(f"a.pos < b.pos AND {_passes('a.', 'b.')}")
-    return both.select(F.col("b.pos").alias("pos"), F.col("a.pos").alias("other")).distinct()
+    # the task's number keeps conditions above the exchange, so that all sides of the joins read the same one
+    entries = _entries(known.withColumn("done", F.coalesce("done", F.lit(False))).withColumn("bands", bands)).withColumn("task", F.spark_partition_id())
+
+    def met(a: DataFrame, b: DataFrame, later: str) -> DataFrame:
+        # what excludes nearly all comes first
+        both = b.alias("b").join(a.alias("a"), F.col("a.key") == F.col("b.key"))
+        both = both.where(f"{_passes('a.', 'b.')} AND (a.n < b.n OR a.n = b.n AND a.pos < b.pos) AND {later}")
+        return both.select(F.greatest("a.pos", "b.pos").alias("pos"), F.least("a.pos", "b.pos").alias("other"))
+
+    # two classes that are both done never meet: thousands of variants of a line would be compared with each other
+    done = entries.where("short AND done AND task >= 0")
+    found = met(entries.where("short AND NOT done AND task >= 0"), entries, "(a.pos > b.pos OR NOT b.done)")
+    return found.unionByName(met(done.hint("shuffle_hash") if few else done, entries.where("NOT done AND task >= 0"), "a.pos < b.pos")).distinct()
 
 
 def _few(rows: DataFrame, count: int) -> DataFrame:
@@ -202,7 +224,9 @@ def _verified(pairs: DataFrame, bits: int, docs: DataFrame) -> DataFrame:
 def _gone(rows: DataFrame) -> DataFrame:
     """_row, line_no of every line that goes, from rows with _row (see common.keyed) and text."""
     docs = rows.select("_row", "text").where("text is not null")
-    each = written(lines(docs, rarity(docs)), "line-dedup-lines")
+    words = written(hashed(docs), "line-dedup-hashes")
+    each = written(lines(words, rarity(words)), "line-dedup-lines")
+    drop_written(words)
     found, bits = packed(each)
     repeated = written(repeats(found), "line-dedup-repeated")
     repeated = _few(repeated, repeated.count())
@@ -211,7 +235,8 @@ def _gone(rows: DataFrame) -> DataFrame:
     led = _verified(leaders(kinds), bits, docs)
     matched = written(led.where("same").select("pos").distinct(), "line-dedup-matched")
     # only what was paired with a word's first class and matches it has been searched in full
-    checked = _verified(candidates(kinds, _few(matched, matched.count())), bits, docs)
+    count = matched.count()
+    checked = _verified(candidates(kinds, _few(matched, count), count <= BROADCAST_PAIRS), bits, docs)
     firsts = matched.unionByName(checked.where("same").select("pos").distinct()).select(*_place("pos", bits))
     copies = found.join(repeated, ["h1", "h2"]).where("pos > first").select("_row", "line_no")
     gone = written(firsts.unionByName(copies), "line-dedup-gone")

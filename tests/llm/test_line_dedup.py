@@ -163,3 +163,34 @@ def test_ranks_are_packed_by_bucket():
     ranks = [rng.randrange(127) for _ in range(ld.BUCKETS)]
     longs, size = list(map(int, ld._packed_ranks(",".join(map(str, ranks))).split(","))), ld.BUCKETS // ld.PLACES
     assert len(longs) == size and all((longs[b % size] >> 8 * (b // size)) & 255 == ranks[b] for b in range(0, ld.BUCKETS, 97))
+
+
+def test_words_are_hashed_once(make_docs, rows, monkeypatch):
+    plans, put = {}, ld.written
+
+    def spy(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return put(df, name)
+
+    monkeypatch.setattr(ld, "written", spy)
+    assert {(r.doc_id, r.line_no) for r in ld.duplicates(make_docs(rows)).collect()} == brute(rows)
+    # counts and keys are made from one table of hashes, not from the texts
+    assert len(plans["line-dedup-hashes"]) == 1 and "split(" in plans["line-dedup-hashes"][0]
+    assert "split(" not in plans["line-dedup-lines"][0] and "lower(" not in plans["line-dedup-lines"][0]
+
+
+def test_only_short_entries_are_joined_with_all(make_docs, rows):
+    docs = make_docs(rows).withColumnRenamed("doc_id", "_row")
+    found, bits = ld.packed(ld.lines(docs, ld.rarity(docs)))
+    kinds = ld.classes(found, ld.repeats(found)).persist()
+    entries = ld._entries(kinds.withColumn("done", ld.F.lit(False)).withColumn("bands", ld.F.array(ld._band(ld.F.col("n")))))
+    assert entries.where("short").count() == entries.where("short AND i <= n - (8 * n + 8) div 9 + 1").count() < entries.count()
+    # all pairs that match are found all the same, from one exchange, whichever of the two lines is the longer one
+    sets = {(i << bits) + n: set(x.lower().split()) for i, t in rows for n, x in enumerate(t.split("\n"))}
+    firsts = sorted(r.pos for r in kinds.select("pos").collect())
+    want = {(b, a) for b in firsts for a in firsts if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    matched = firsts[::3]
+    got = {(r.pos, r.other) for r in ld.candidates(kinds, kinds.select("pos").where(ld.F.col("pos").isin(matched)), True).collect()}
+    assert {p for p in want if p[0] not in matched} <= got and not {p[0] for p in got} & set(matched)
+    assert any(len(sets[a]) > len(sets[b]) for b, a in want) and any(len(sets[a]) < len(sets[b]) for b, a in want)
+    kinds.unpersist()
